@@ -29,7 +29,40 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op9_topk_search": op9_topk_search, "op10_mixing": op10_mixing}
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecsmith.llm.token_files import read_token_files, write_token_files
+
+    folder = write_token_files(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecsmith.llm.packing import pack
+
+    pieces = pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecsmith.llm.token_counts import token_prefixes
+
+    return token_prefixes(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op5_token_files": op5_token_files,
+    "op6_packing": op6_packing,
+    "op8_token_counts": op8_token_counts,
+    "op9_topk_search": op9_topk_search,
+    "op10_mixing": op10_mixing,
+}
 
 ORACLES = {
     "op2_exact_dedup": """
