@@ -10,6 +10,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecsmith.llm.warc import read_warc, write_warc
+
+    folder = write_warc(_table(spark, sf_dir, "pages"))
+    return read_warc(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vecsmith.llm.exact_dedup import exact_dedup
 
@@ -29,6 +36,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecsmith.llm.language_id import held_out, identify, train
+
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out(F.col("doc_id"))))
+    return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -56,7 +71,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_language_id": op3_language_id,
     "op5_token_files": op5_token_files,
     "op6_packing": op6_packing,
     "op8_token_counts": op8_token_counts,
@@ -65,6 +82,13 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_warc": """
+with p as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+m as (select *, min(page_id) over (partition by payload_digest) as first_id from p)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to
+from m""",
     "op2_exact_dedup": """
 with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents)
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(norm) as text_sha256
