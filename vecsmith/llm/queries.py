@@ -71,6 +71,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecsmith.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vecsmith.llm.token_counts import token_prefixes
 
@@ -84,6 +90,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_files": op5_token_files,
     "op6_packing": op6_packing,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_token_counts": op8_token_counts,
     "op9_topk_search": op9_topk_search,
     "op10_mixing": op10_mixing,
