@@ -14,7 +14,7 @@ count changes there. Truncation and budget questions then need no encoding.
 from __future__ import annotations
 
 import re
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,7 @@ from pyspark.sql.functions import pandas_udf
 from vecsmith.llm.common import batches_of_rows
 
 LIMIT = 4096
-_KEPT = 200_000
+_KEPT = 500_000
 _SPACE = "▁"
 _SEGMENT = re.compile("▁*[^▁]+|▁+")
 _MARK = "﷐"
@@ -40,7 +40,13 @@ class PrefixCounts:
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.ids = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
-        self.longest = max(map(len, self.ids))
+        #: Pieces by their characters from the last on; the empty key marks a whole piece.
+        self.endings: dict = {}
+        for p in self.ids:
+            node = self.endings
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[""] = {}
         #: No piece crosses from another character to a space mark; else segments would not be independent.
         self.crossing = any(re.search(f"[^{_SPACE}]{_SPACE}", p) for p in self.ids)
         #: A character in no piece: nothing merges across it.
@@ -48,42 +54,52 @@ class PrefixCounts:
         self.barrier = next(chr(c) for c in range(0xE000, 0xF8FF) if chr(c) not in used)
         self.before = len(self._encoded(self.barrier))
         self.agree: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[bytes, int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def _encoded(self, text: str) -> list[int]:
         return self.sp.encode(text.replace(_SPACE, " "))
 
     def agrees(self, last: str, piece: str) -> bool:
         """Whether the library encodes the two, side by side, as these two; ``last`` is empty at a start."""
-        got = self.agree.get((last, piece))
-        if got is None:
-            if len(self.agree) > 4 * _KEPT:
-                self.agree.clear()
-            want = [self.ids[p] for p in (last, piece) if p]
-            got = self.agree[last, piece] = self._encoded(self.barrier + last + piece)[self.before :] == want
+        if len(self.agree) > 2 * _KEPT:
+            self.agree.clear()
+        want = [self.ids[p] for p in (last, piece) if p]
+        got = self.agree[last, piece] = self._encoded(self.barrier + last + piece)[self.before :] == want
         return got
 
-    def segment(self, s: str) -> list[int]:
-        """The token counts of the prefixes of ``s`` of 0, 1, ... characters."""
-        ids, count, last = self.ids, [0] * (len(s) + 1), [""] * (len(s) + 1)
-        for i in range(1, len(s) + 1):
-            for j in range(max(0, i - self.longest), i):
+    def extend(self, s: str, count: list[int], last: list[str]) -> None:
+        """Go on to all prefixes of ``s``; ``count`` and ``last`` hold those of its first characters."""
+        agree = self.agree
+        for i in range(len(count), len(s) + 1):
+            node, j, starts = self.endings, i, []
+            while j and (node := node.get(s[j - 1])) is not None:
+                j -= 1
+                if "" in node:
+                    starts.append(j)
+            for j in reversed(starts):
                 piece = s[j:i]
-                if piece in ids and self.agrees(last[j], piece):
-                    count[i], last[i] = count[j] + 1, piece
+                fits = agree.get((last[j], piece))
+                if fits or fits is None and self.agrees(last[j], piece):
+                    count.append(count[j] + 1)
+                    last.append(piece)
                     break
             else:  # an unknown character: its bytes, and nothing merges across
-                count[i] = count[i - 1] + len(s[i - 1].encode("utf-8", "surrogatepass"))
-        return count
+                count.append(count[i - 1] + len(s[i - 1].encode("utf-8", "surrogatepass")))
+                last.append("")
 
     def learn(self, segments: list[str]) -> None:
-        """Work out segments, and hold their totals against the library's."""
-        for s, whole in zip(segments, self.sp.encode([(self.barrier + s).replace(_SPACE, " ") for s in segments], num_threads=1), strict=True):
-            count = self.segment(s)
-            if count[-1] != len(whole) - self.before:  # not met in practice; encoding each prefix is always right
-                count = [len(self._encoded(self.barrier + s[:i])) - self.before for i in range(len(s) + 1)]
-            steps = np.diff(count)
-            self.known[s] = (steps.astype(np.int8).tobytes(), count[-1])
+        """Work out sorted segments; each goes on from the prefix it shares with the one before."""
+        count, last, before, known, extend = [0], [""], "", self.known, self.extend
+        for s in segments:
+            same = 0
+            for x, y in zip(before, s, strict=False):
+                if x != y:
+                    break
+                same += 1
+            del count[same + 1 :], last[same + 1 :]
+            extend(s, count, last)
+            known[s] = bytes([(y - x) & 255 for x, y in pairwise(count)])
+            before = s
 
     def __call__(self, texts: list[str | None]) -> list[tuple[bytes, int]]:
         """(change of the count at each character, total) of each text.
@@ -106,17 +122,14 @@ class PrefixCounts:
         known = self.known
         if len(known) > _KEPT:
             known.clear()
-        missing = list({s for segments in split for s in segments if s not in known})
-        for at in range(0, len(missing), 10_000):
-            self.learn(missing[at : at + 10_000])
+        self.learn(sorted(set().union(*split).difference(known)))
         out = []
         for segments in split:
-            got = [known[s] for s in segments]
-            steps = b"".join([x for x, _ in got])
+            steps = b"".join(map(known.__getitem__, segments))
             if steps:  # the leading mark is no character of the text
                 a, b = np.frombuffer(steps[:2].ljust(2, b"\0"), np.int8)
                 steps = np.int8(a + b).tobytes() + steps[2:]
-            out.append((steps, sum([n for _, n in got])))
+            out.append((steps, int(np.frombuffer(steps, np.int8).sum(dtype=np.int64))))
         return out
 
 
