@@ -3,13 +3,40 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
-_KEPT = 250_000
+_KEPT = 500_000
 #: Where cutting before each space could split a run of white space that the pre-tokenizer keeps whole.
 _RUNS = re.compile(r"\s [\s]|\s $")
 _MARK = "﷐"
+#: Segments that the split below is certain about: printable characters up to Latin Extended-B, and line feeds.
+_PLAIN = re.compile("[ -~\n¡-ɏ]*")
+_STOPS = ".,;:!?"
+#: Fixed value: the pre-tokenizer's pattern, for such characters.
+_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_²³¹¼½¾]+| ?[\d²³¹¼½¾]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+
+
+def _visible_bytes() -> dict[int, str]:
+    """The printable character that a byte-level vocabulary writes for each byte."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
+class _Remembered(dict):
+    """Values of ``make`` by key; all are forgotten when there are too many."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= _KEPT:
+            self.clear()
+        got = self[key] = self.make(key)
+        return got
 
 
 class SegmentIds:
@@ -17,39 +44,54 @@ class SegmentIds:
 
     A byte-level pre-tokenizer always ends a word before the space that leads
     the next one, so a text's ids are those of its space-led segments in turn.
-    Each distinct segment is encoded once by the library and remembered (up to a
-    fixed number, then all are forgotten). Texts with runs of white space, with
-    the mark or with an added token in them go to the library whole.
+    Each distinct segment is encoded once and remembered (up to a fixed number,
+    then all are forgotten): plain ones are cut into pre-tokens here, which the
+    library's model turns into ids; others go through the whole library.
+    Texts with runs of white space, with the mark or with an added token in them
+    go to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.model = self.library.model
+        self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype(f"<u{array(self.code).itemsize}")
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.visible = _visible_bytes()
+        self.known, self.words = _Remembered(self._segment), _Remembered(self._word)
 
     def _whole(self, text: str) -> bool:
         return _MARK in text or _RUNS.search(text) is not None or any(a in text for a in self.added)
 
+    def _word(self, word: str) -> bytes:
+        ascii_word = word.isascii() and word.isprintable()
+        shown = word.replace(" ", self.visible[32]) if ascii_word else word.encode().decode("latin-1").translate(self.visible)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _segment(self, segment: str) -> bytes:
+        word = segment.rstrip(_STOPS)
+        if (word[1:] if word[:1] == " " else word).isalpha() and (segment.isascii() or _PLAIN.fullmatch(segment) is not None):
+            stops = segment[len(word) :]  # a word and what ends it: two pre-tokens at most
+            return self.words[word] + self.words[stops] if stops else self.words[word]
+        if _PLAIN.fullmatch(segment) is None:
+            return self._library(segment)
+        return b"".join(map(self.words.__getitem__, _PRETOKEN.findall(segment)))
+
+    def _library(self, text: str) -> bytes:
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes of ``dtype``; null and empty texts have none."""
-        split = [None if not t or self._whole(t) else t.replace(" ", _MARK + " ").split(_MARK) for t in texts]
-        known = self.known
-        if len(known) > _KEPT:
-            known.clear()
-        missing = list({s for segments in split if segments for s in segments if s not in known})
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            for s, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[s] = np.array(e.ids, self.dtype).tobytes()
-        out = []
-        for text, segments in zip(texts, split, strict=True):
-            if segments is not None:
-                out.append(b"".join(map(known.__getitem__, segments)))
+        known, out = self.known.__getitem__, []
+        for t in texts:
+            if not t:
+                out.append(b"")
+            elif self._whole(t):
+                out.append(self._library(t))
             else:
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes() if text else b"")
+                out.append(b"".join(map(known, t.replace(" ", _MARK + " ").split(_MARK))))
         return out
 
 
