@@ -30,10 +30,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup: of equal texts the largest doc_id stays."""
     from vecsmith.llm.exact_dedup import exact_dedup
 
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    # by id and text, so that rows of one id with other texts are told apart
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).distinct()
+    # by id and text, so that rows of one id with other texts are told apart; other columns stay packed
     sha = F.sha2(ascii_lower(F.col("text")).cast("binary"), 256)
-    return docs.withColumn("_sha256", sha).join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha256") == F.col("_sha")), "left_semi").drop("_sha256")
+    rows = docs.select(F.col("doc_id").alias("_id"), sha.alias("_sha"), F.struct(*docs.columns).alias("row"))
+    return rows.join(kept, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_sha") == F.col("sha")), "left_semi").select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +50,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing sources to target weights: a document has as many rows as the mix takes copies of it."""
     from vecsmith.llm.mixing import mix
 
-    copies = mix(docs, trim=False).select(F.col("doc_id").alias("_id"), "copies")
-    copies = copies.where("_id is not null").groupBy("_id").agg(F.max("copies").alias("copies"))
-    taken = docs.join(copies, F.col("doc_id") == F.col("_id"), "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    return taken.where("copies > 0").select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy")).drop("_copy")
+    copies = mix(docs, trim=False).where("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.col("doc_id"), F.struct(*docs.columns).alias("row")).join(copies, "doc_id", "left")
+    times = F.coalesce("copies", F.lit(1))  # rows without an id stay once
+    return rows.where(times > 0).select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

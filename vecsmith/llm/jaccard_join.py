@@ -2,12 +2,13 @@
 
 Documents with equal shingle sets form one class. Classes are listed under the
 rarest shingles of their sets (a prefix that two sets of the needed overlap must
-share). A list is not paired out. In each round every class asks one set of its
-lists, the one most sets resemble; the answers join classes into components, and
-whole list blocks within one component are skipped from then on. Only classes that
-share a list but no component are compared one by one at the end, skipping by
-size, by position in the list and by what the answer about a common similar
-set already tells.
+share). A list is not paired out: every class first asks one set, the one of
+its lists that most sets resemble. The answers join classes into components, and whole
+list blocks within one component are skipped. Two sets that asked the same set L, and
+need a greater overlap than either has with L, must share shingles outside of L; so their
+answers are derived from their differences to L, which are short and listed in
+turn, while blocks of such sets are skipped in the first lists. What is left is compared
+one by one, skipping by size and by position in the list.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecsmith.llm.common import batches_of_rows, mix, signed, stored, window_hashes, word_hashes
@@ -24,7 +25,6 @@ from vecsmith.llm.components import components
 WORDS, PERCENT = 4, 85
 #: Share of all hash values that make the first part of the order in which shingles are listed.
 _PART = 4
-_ROUNDS = 3
 _BLOOM = 1 << 26
 
 
@@ -62,32 +62,20 @@ def _listed(hashes: np.ndarray, percent: int) -> tuple[int, bool]:
     return int(np.searchsorted(part, last, side="right")), last > 0
 
 
-_SETS = "doc_id long, c1 long, c2 long, n long, listed long, wide boolean"
+_SETS = "doc_id long, c1 long, c2 long, n long, listed long, wide boolean, hashes array<long>"
 
 
 def _sets(batches, width, percent):
+    """Size and class of each document's set; for the first document of a class in a batch also what it is listed under."""
     for batch in batches_of_rows(batches):
-        rows = []
+        seen, rows = set(), []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             h = shingle_hashes(text, width)
-            rows.append((doc, *_class_key(h), len(h), *(_listed(h, percent) if len(h) else (0, False))))
-        kinds = (pa.int64(),) * 5 + (pa.bool_(),)
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "c1", "c2", "n", "listed", "wide"])
-
-
-def _entries(batches, width, percent):
-    """(h, c1, c2) under which the classes of a batch are listed, once for each class."""
-    for batch in batches:
-        seen, parts = set(), []
-        for text in batch.column("text").to_pylist():
-            h = shingle_hashes(text, width)
-            if len(h) and (key := _class_key(h)) not in seen:
-                seen.add(key)
-                h = h[: _listed(h, percent)[0]]
-                parts.append((h, np.full(len(h), key[0], np.int64), np.full(len(h), key[1], np.int64)))
-        if parts:
-            h, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield pa.record_batch({"h": pa.array(signed(h)), "c1": pa.array(a), "c2": pa.array(b)})
+            key, (listed, wide) = _class_key(h), _listed(h, percent) if len(h) else (0, False)
+            rows.append((doc, *key, len(h), listed, wide, signed(h[:listed]) if listed and key not in seen else None))
+            seen.add(key)
+        kinds = (*(pa.int64(),) * 5, pa.bool_(), pa.list_(pa.int64()))
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "c1", "c2", "n", "listed", "wide", "hashes"])
 
 
 def _wanted_sets(batches, width, bits):
@@ -115,67 +103,114 @@ def _filter_bits(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def _answers(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) with the exact overlap of their sets, their sizes, and whether they link."""
+def _answers(pairs: DataFrame, sets: DataFrame, percent: int, outside: bool = False) -> DataFrame:
+    """``pairs`` (a, b) with the exact overlap of their sets, their sizes, and whether they link.
+
+    With ``outside`` also the shingles of b that a has not: in a fixed order, as many as
+    any set must share one of that asked the same a and may still link with b.
+    """
     side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    out = both.select("a", "b", F.size("_a").alias("size_a"), F.size("_b").alias("size_b"), F.size(F.array_intersect("_a", "_b")).alias("overlap"))
-    return out.withColumn("linked", F.lit(100) * F.col("overlap") >= F.lit(percent) * (F.col("size_a") + F.col("size_b") - F.col("overlap")))
+    out = both.withColumn("overlap", F.size(F.array_intersect("_a", "_b"))).withColumns({"size_a": F.size("_a"), "size_b": F.size("_b")})
+    linked = F.lit(100) * F.col("overlap") >= F.lit(percent) * (F.col("size_a") + F.col("size_b") - F.col("overlap"))
+    rest = []
+    if outside:
+        own = F.ceil(F.lit(percent) * F.col("size_b") / F.lit(100)).cast("int")
+        take = F.col("size_b") - F.col("overlap") - F.greatest(F.lit(1), own - F.col("overlap")) + 1
+        rest = [F.slice(F.array_sort(F.array_except("_b", "_a")), F.lit(1), F.greatest(F.lit(0), take)).alias("outside")]
+    return out.select("a", "b", "size_a", "size_b", "overlap", linked.alias("linked"), *rest)
+
+
+_ROW = ("node", "n", "pos", "root", "asked", "overlap")
+
 
+def _least(n, m, percent):
+    """The least overlap at which sets of these sizes link."""
+    return -(-percent * (n + m) // (100 + percent))
 
-def _rest_of_list(batches, percent):
-    """Pairs of a list (rows sorted by list, size and position) that are of two components and may still link.
 
-    The rows of one list come together. For each row the rows before it are
-    looked up by block: those too small end the block, positions and known overlaps skip others.
+def _of_list(t, percent):
+    """Pairs of one list (rows in order of size) that may still link.
+
+    Rows that asked the same set form a block. A row whose overlap with that set is
+    below what any link needs skips its whole block: the lists of differences
+    answer for it. Other rows of the block skip those, and all of their own component.
     """
+    n, pos, root, asked, over, node = (t[c] for c in ("n", "pos", "root", "asked", "overlap", "node"))
+    far = over < -(-percent * n // 100)
+    strangers = {a: np.flatnonzero(asked != a) if a >= 0 else np.arange(len(n)) for a in np.unique(asked)}
+    close = {a: np.flatnonzero((asked == a) & ~far) for a in strangers if a >= 0}
+    close = {a: at if len(np.unique(root[at])) > 1 else at[:0] for a, at in close.items()}
+    for i in range(1, len(n)):
+        a = int(asked[i])
+        k = strangers[a]
+        k = k[: np.searchsorted(k, i)]
+        if a >= 0 and not far[i] and len(close[a]):
+            k = np.concatenate([k, close[a][: np.searchsorted(close[a], i)]])
+        if not len(k):
+            continue
+        least = _least(n[k], n[i], percent)
+        rest = 1 + np.minimum(n[k] - pos[k] - 1, n[i] - pos[i] - 1) + np.minimum(pos[k], pos[i])
+        same = (asked[k] == a) & (a >= 0)
+        known = np.minimum(over[k], over[i]) + np.minimum(n[k] - over[k], n[i] - over[i])
+        ok = (100 * n[k] >= percent * n[i]) & (root[k] != root[i]) & (rest >= least) & (asked[k] != node[i]) & (node[k] != a)
+        ok &= ~same | (least <= np.minimum(over[k], over[i])) & (known >= least)
+        k = k[ok]
+        if len(k):
+            yield np.minimum(node[k], node[i]), np.maximum(node[k], node[i])
+
+
+def _of_differences(t, percent):
+    """Pairs of sets that asked the same set and share a shingle outside of it."""
+    n, root, over, node = (t[c] for c in ("n", "root", "overlap", "node"))
+    if len(np.unique(root)) < 2:
+        return
+    for i in range(1, len(n)):
+        k = np.flatnonzero(root[:i] != root[i])
+        least, both = _least(n[k], n[i], percent), np.minimum(over[k], over[i])
+        k = k[(100 * n[k] >= percent * n[i]) & (least > both) & (both + np.minimum(n[k] - over[k], n[i] - over[i]) >= least)]
+        if len(k):
+            yield np.minimum(node[k], node[i]), np.maximum(node[k], node[i])
+
+
+def _list_pairs(batches, keys, of, percent):
+    """``of`` for each list: rows come sorted by the list's keys and size, and a list may go over batches."""
     held = None
-    names = ("h", "node", "n", "pos", "root", "asked", "overlap")
-
-    def pairs(t):
-        n, pos = t["n"], t["pos"]
-        for i in range(1, len(n)):
-            j = int(np.searchsorted(n[:i], needed(int(n[i]), percent)))  # smaller sets cannot link
-            if j == i:
-                continue
-            k = slice(j, i)
-            least = -(-percent * (n[k] + n[i]) // (100 + percent))
-            rest = 1 + np.minimum(n[k] - pos[k] - 1, n[i] - pos[i] - 1)
-            # with the overlaps o, p of both with the set they asked: at most min(o, p) within it, and what lies outside it
-            known = np.minimum(t["overlap"][k], t["overlap"][i]) + np.minimum(n[k] - t["overlap"][k], n[i] - t["overlap"][i])
-            told = (t["asked"][k] == t["asked"][i]) & (t["asked"][k] >= 0)
-            ok = (t["root"][k] != t["root"][i]) & (rest + pos_slack(t, k, i) >= least) & (~told | (known >= least))
-            other = np.flatnonzero(ok) + j
-            if len(other):
-                mine = np.full(len(other), t["node"][i])
-                yield np.minimum(mine, t["node"][other]), np.maximum(mine, t["node"][other])
-
-    def pos_slack(t, k, i):
-        # earlier common places may exist: as many as the smaller position
-        return np.minimum(t["pos"][k], t["pos"][i])
 
     def out(t):
-        edge = np.flatnonzero(np.diff(t["h"])) + 1
-        for a, b in zip([0, *edge], [*edge, len(t["h"])], strict=True):
-            for x, y in pairs({c: v[a:b] for c, v in t.items()}):
-                yield pa.record_batch({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
+        new = np.zeros(len(t["node"]), bool)
+        for c in keys:
+            new[1:] |= t[c][1:] != t[c][:-1]
+        edge = np.flatnonzero(new)
+        for a, b in zip([0, *edge], [*edge, len(new)], strict=True):
+            if b - a > 1:
+                for x, y in of({c: v[a:b] for c, v in t.items()}, percent):
+                    yield pa.record_batch({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
     for batch in batches:
-        t = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+        t = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in dict.fromkeys((*keys, *_ROW))}
         if held is not None:
             t = {c: np.concatenate([held[c], t[c]]) for c in t}
-        if not len(t["h"]):
+        if not len(t["node"]):
             continue
-        edge = np.flatnonzero(np.diff(t["h"])) + 1
-        last = int(edge[-1]) if len(edge) else 0
+        same = np.ones(len(t["node"]), bool)
+        for c in keys:
+            same &= t[c] == t[c][-1]
+        last = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
         held = {c: v[last:] for c, v in t.items()}
         if last:
             yield from out({c: v[:last] for c, v in t.items()})
-    if held is not None and len(held["h"]):
+    if held is not None and len(held["node"]):
         yield from out(held)
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT, rounds: int = _ROUNDS) -> tuple[DataFrame, DataFrame]:
+def _several(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of those lists that hold more than one component."""
+    lists = rows.groupBy(*keys).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*keys)
+    return rows.join(lists, keys, "left_semi")
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n, node) and links (a, b) that connect each component's nodes.
 
     A node is the smallest id of the documents with one set; documents without
@@ -183,11 +218,11 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    known = stored(slim.mapInArrow(lambda it: _sets(it, width, percent), _SETS), "known")
+    known = stored(slim.mapInArrow(lambda it: _sets(it, width, percent), _SETS), "known", "lz4")
     nodes = stored(known.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("listed").alias("listed"), F.first("wide").alias("wide")).where("node is not null"), "nodes")
 
-    entries = slim.select("text").mapInArrow(lambda it: _entries(it, width, percent), "h long, c1 long, c2 long")
-    # an occurrence mark for each class: shingles of one class only need no list
+    entries = known.where("hashes is not null").select(F.explode("hashes").alias("h"), "c1", "c2")
+    # shingles of one class only need no list
     several = entries.select("h", F.col("c1").bitwiseXOR(F.col("c2")).alias("c")).groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("df")).where("x <> y").select("h", "df")
     several = stored(several, "several")
     shared = entries.join(several, "h").groupBy("c1", "c2").agg(F.collect_set(F.struct(F.expr("shiftrightunsigned(h, 62)").alias("part"), "df", "h")).alias("shared"))
@@ -201,55 +236,32 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     ).where("size(list) > 0")
     ranked = stored(ranked, "ranked")
     lists = ranked.select("node", "n", "resembled", "alone", F.posexplode("list").alias("i", "s")).select("node", "n", "resembled", (F.col("alone") + F.col("i")).cast("long").alias("pos"), F.col("s.h").alias("h"))
-    busy = lists.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
-    lists = stored(lists.join(busy, "h", "left_semi"), "lists")
+    # the set of each list that most sets resemble
+    best = lists.groupBy("h").agg(F.max(F.struct("resembled", "node", "n")).alias("best"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    lists = stored(lists.join(best, "h"), "lists")
 
-    wanted = lists.select("node").distinct().join(ranked.select("node", "c1", "c2"), "node")
-    wanted = stored(wanted, "wanted")
+    wanted = stored(lists.select("node").distinct().join(ranked.select("node", "c1", "c2"), "node"), "wanted")
     bits = spark.sparkContext.broadcast(_filter_bits(wanted))
     sets = slim.select("text").mapInArrow(lambda it: _wanted_sets(it, width, bits), "c1 long, c2 long, shingles array<long>")
     sets = stored(sets.join(wanted, ["c1", "c2"]).groupBy("node", "c1").agg(F.first("shingles").alias("shingles")).select("node", "shingles"), "sets", "lz4")
 
-    roots = spark.createDataFrame([], "node long, root long")
-    links, asked = None, None
-    for _ in range(rounds):
-        # the set of each list that resembles most others; a class asks the best one outside its component
-        open_ = _open_lists(lists, roots)
-        best = open_.groupBy("h").agg(F.max(F.struct("resembled", "node", "root", "n")).alias("best"))
-        second = open_.join(best, "h").where("root <> best.root").groupBy("h").agg(F.max(F.struct("resembled", "node", "root", "n")).alias("next"))
-        choice = open_.join(best, "h").join(second, "h").withColumn("ask", F.when(F.col("root") != F.col("best.root"), F.col("best")).otherwise(F.col("next")))
-        sizes = (F.lit(100) * F.least("n", "ask.n") >= F.lit(percent) * F.greatest("n", "ask.n"))
-        up = F.struct("ask.resembled", "ask.node") > F.struct("resembled", "node")
-        pairs = choice.where(sizes & up).groupBy("node").agg(F.max(F.struct("ask.resembled", "ask.node")).alias("ask")).select(F.col("node").alias("b"), F.col("ask.node").alias("a"))
-        if asked is not None:
-            pairs = pairs.join(asked.select("a", "b"), ["a", "b"], "left_anti")
-        got = stored(_answers(pairs, sets, percent), "answers")
-        if got.isEmpty():
-            break
-        asked = got if asked is None else asked.unionByName(got)
-        links = asked.where("linked").select("a", "b")
-        roots = components(links)
-    # all that is left: lists that still hold several components
-    open_ = _open_lists(lists, roots)
-    if asked is not None:
-        told = asked.groupBy(F.col("b").alias("node")).agg(F.max_by("a", "overlap").alias("asked"), F.max("overlap").cast("long").alias("overlap"))
-        open_ = open_.join(told, "node", "left")
-    else:
-        open_ = open_.withColumns({"asked": F.lit(None).cast("long"), "overlap": F.lit(None).cast("long")})
-    rest = open_.select("h", "node", "n", "pos", "root", F.coalesce("asked", F.lit(-1)).alias("asked"), F.coalesce("overlap", F.lit(0)).alias("overlap"))
-    rest = rest.repartition("h").sortWithinPartitions("h", "n", "pos").mapInArrow(lambda it: _rest_of_list(it, percent), "a long, b long").distinct()
-    if asked is not None:
-        rest = rest.join(asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    last = stored(_answers(rest, sets, percent).where("linked").select("a", "b"), "last")
-    links = last if links is None else links.unionByName(last)
-    return known.join(nodes.select("c1", "c2", "node"), ["c1", "c2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), links
-
-
-def _open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """Entries with their component, of lists that hold several components."""
-    now = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = now.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
-    return stored(now.join(several, "h", "left_semi"), "open")
+    fits = F.lit(100) * F.least("n", "best.n") >= F.lit(percent) * F.greatest("n", "best.n")
+    asks = lists.where(fits & (F.struct("best.resembled", "best.node") > F.struct("resembled", "node"))).groupBy("node").agg(F.max(F.struct("best.resembled", "best.node")).alias("ask"))
+    told = stored(_answers(asks.select(F.col("node").alias("b"), F.col("ask.node").alias("a")), sets, percent, outside=True), "told")
+    links = told.where("linked").select("a", "b")
+    roots = components(links)
+    rooted = lambda rows: rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    answered = told.select(F.col("b").alias("node"), F.col("a").alias("asked"), F.col("overlap").cast("long").alias("overlap"))
+    open_ = _several(rooted(lists.drop("best", "resembled")), ["h"]).join(answered, "node", "left")
+    open_ = open_.select("h", "node", "n", "pos", "root", F.coalesce("asked", F.lit(-1)).alias("asked"), F.coalesce("overlap", F.lit(0)).alias("overlap"))
+    rest = open_.repartition("h").sortWithinPartitions("h", "n", "pos").mapInArrow(lambda it: _list_pairs(it, ("h",), _of_list, percent), "a long, b long")
+    apart = told.select(F.col("b").alias("node"), F.col("size_b").cast("long").alias("n"), F.lit(0).cast("long").alias("pos"), F.col("a").alias("asked"), F.col("overlap").cast("long").alias("overlap"), F.explode("outside").alias("h"))
+    apart = _several(rooted(apart), ["asked", "h"]).select("h", "node", "n", "pos", "root", "asked", "overlap")
+    derived = apart.repartition("asked", "h").sortWithinPartitions("asked", "h", "n").mapInArrow(lambda it: _list_pairs(it, ("asked", "h"), _of_differences, percent), "a long, b long")
+    pairs = rest.unionByName(derived).distinct()
+    last = stored(_answers(pairs, sets, percent).where("linked").select("a", "b"), "last")
+    return known.join(nodes.select("c1", "c2", "node"), ["c1", "c2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), links.unionByName(last)
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -36,8 +36,9 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     control = (four.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
     at = np.cumsum(code + np.int64(1)) - (code + np.int64(1))
     data = np.zeros(int(len(ranks) + code.sum(dtype=np.int64)), np.uint8)
-    for k in range(4):
-        has = code >= k
+    data[at] = ranks.astype(np.uint8)
+    for k in range(1, int(code.max(initial=0)) + 1):
+        has = np.flatnonzero(code >= k)
         data[at[has] + k] = (ranks[has] >> np.uint32(8 * k)).astype(np.uint8)
     return control.tobytes(), data.tobytes()
 
@@ -47,31 +48,39 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     at = np.cumsum(lengths) - lengths
     data = np.frombuffer(data, np.uint8)
     out = data[at].astype(np.uint32)
-    for k in range(1, 4):
+    for k in range(1, int(lengths.max(initial=1))):
         has = np.flatnonzero(lengths > k)
         out[has] |= data[at[has] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
+_RAW = "part int, seq long, doc_id long, ids binary, counts binary"
+
+
 def _tokenized(batches, path: str, end_id: int):
+    """Ids of each document, in order; the task's last row has its counts of all ids instead."""
     from pyspark import TaskContext
 
     encode, part, seq = segment_ids(path), TaskContext.get().partitionId(), 0
     end = np.array([end_id], encode.dtype).tobytes()
+    counts = np.zeros(max(encode.library.get_vocab_size(), end_id + 1), np.int64)
+    rows = lambda seqs, docs, ids, counts: pa.record_batch({"part": pa.array([part] * len(seqs), pa.int32()), "seq": pa.array(seqs, pa.int64()), "doc_id": docs, "ids": pa.array(ids, pa.binary()), "counts": pa.array(counts, pa.binary())})
     for batch in batches_of_rows(batches):
         ids = [x + end for x in encode(batch.column("text").to_pylist())]
         n = batch.num_rows
-        yield pa.record_batch({"part": pa.array([part] * n, pa.int32()), "seq": pa.array(range(seq, seq + n), pa.int64()), "doc_id": batch.column("doc_id").cast(pa.int64()), "ids": pa.array(ids, pa.binary())})
+        counts += np.bincount(np.frombuffer(b"".join(ids), encode.dtype), minlength=len(counts))
+        yield rows(range(seq, seq + n), batch.column("doc_id").cast(pa.int64()), ids, [None] * n)
         seq += n
+    yield rows([seq], pa.array([None], pa.int64()), [None], [counts.tobytes()])
 
 
-def _counted(batches, dtype):
+def _summed(batches):
+    """(id, n): the sum of tasks' counts."""
     total = np.zeros(0, np.int64)
     for batch in batches:
-        got = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype))
-        if len(got) > len(total):
-            total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-        total[: len(got)] += got
+        for counts in batch.column("counts").to_pylist():
+            own = np.frombuffer(counts, np.int64)
+            total = own.copy() if not len(total) else total + own
     ids = np.flatnonzero(total)
     yield pa.record_batch({"id": pa.array(ids, pa.int64()), "n": pa.array(total[ids], pa.int64())})
 
@@ -140,16 +149,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     folder = folder or f"{scratch_dir(spark)}/ids"
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = slim.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    raw = stored(order.mapInArrow(lambda it: _tokenized(it, tokenizer, end_id), "part int, seq long, doc_id long, ids binary"), "raw")
+    raw = stored(order.mapInArrow(lambda it: _tokenized(it, tokenizer, end_id), _RAW), "raw")
     dtype = segment_ids(tokenizer).dtype
-    counts = raw.select("ids").mapInArrow(lambda it: _counted(it, dtype), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = raw.where("counts is not null").select("counts").mapInArrow(_summed, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     by_rank = [r["id"] for r in counts.orderBy(F.desc("n"), "id").collect()]  # at most the vocabulary
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/ranks.bin") as out:
         out.write(np.array(by_rank, "<u4").tobytes())
     schema = "temporary string, name string, docs long, ids long, bytes long"
-    committed(raw.mapInArrow(lambda it: _written(it, folder, dtype, file_bytes), schema), folder, format=MAGIC.decode(), end_id=end_id)
+    committed(raw.where("ids is not null").drop("counts").mapInArrow(lambda it: _written(it, folder, dtype, file_bytes), schema), folder, format=MAGIC.decode(), end_id=end_id)
     dropped(spark, raw)
     return folder
 

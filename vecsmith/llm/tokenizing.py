@@ -7,10 +7,10 @@ from array import array
 
 import numpy as np
 
-_KEPT = 500_000
+_KEPT = 700_000
 #: Where cutting before each space could split a run of white space that the pre-tokenizer keeps whole.
 _RUNS = re.compile(r"\s [\s]|\s $")
-_MARK = "﷐"
+_MARK = "\0"
 #: Segments that the split below is certain about: printable characters up to Latin Extended-B, and line feeds.
 _PLAIN = re.compile("[ -~\n¡-ɏ]*")
 _STOPS = ".,;:!?"
