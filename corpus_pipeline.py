@@ -20,10 +20,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     from vecsmith.llm.language_id import identify, train
 
-    # row by row, with the document beside its text: nothing is joined back
-    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = identify(whole, train(docs), id_col="row")
-    return found.where("lang_pred <> 'und'").select(*(F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"doc_id.{c}").alias(c) for c in docs.columns))
+    # row by row, with the other columns (by place, whatever their names) beside the text: nothing is joined back
+    others = [c for c in docs.columns if c != "text"]
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(others)])
+    found = identify(docs.select(rest.alias("rest"), "text"), train(docs), id_col="rest")
+    column = lambda c: F.col("text") if c == "text" else F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"doc_id._{others.index(c)}").alias(c)
+    return found.where("lang_pred <> 'und'").select(*[column(c) for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import tempfile
 import uuid
 
@@ -138,8 +139,45 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def batches_of_rows(batches):
-    """Arrow batches cut to a few thousand rows, so that working memory stays small."""
+def task(function):
+    """For functions that tasks run over batches: at a task's end its free memory goes back to the system.
+
+    Worker processes live on between tasks, and would hold it beside the next stage's.
+    """
+
+    @functools.wraps(function)
+    def run(*args, **options):
+        try:
+            yield from function(*args, **options)
+        finally:
+            _relieve()
+
+    return run
+
+
+def _relieve() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def batches_of_rows(batches, rows: int = 2000, size: int = 8 << 20):
+    """Arrow batches cut to some rows and some bytes of text (one row at least), so that working memory stays small."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            yield batch.slice(at, 2000)
+        total = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+                total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        edge, at = np.cumsum(total), 0
+        while at < batch.num_rows:
+            before = edge[at - 1] if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(edge, before + size, side="right"))))
+            yield batch.slice(at, end - at)
+            at = end

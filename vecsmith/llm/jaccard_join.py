@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsmith.llm.common import batches_of_rows, mix, signed, stored, window_hashes, word_hashes
+from vecsmith.llm.common import batches_of_rows, mix, signed, stored, task, window_hashes, word_hashes
 from vecsmith.llm.components import components
 
 WORDS, PERCENT = 4, 85
@@ -65,6 +65,7 @@ def _listed(hashes: np.ndarray, percent: int) -> tuple[int, bool]:
 _SETS = "doc_id long, c1 long, c2 long, n long, listed long, wide boolean, hashes array<long>"
 
 
+@task
 def _sets(batches, width, percent):
     """Size and class of each document's set; for the first document of a class in a batch also what it is listed under."""
     for batch in batches_of_rows(batches):
@@ -78,6 +79,7 @@ def _sets(batches, width, percent):
         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "c1", "c2", "n", "listed", "wide", "hashes"])
 
 
+@task
 def _wanted_sets(batches, width, bits):
     """The whole sets of the classes that the filter lets through, once for each class of a batch."""
     bits = bits.value
@@ -173,6 +175,7 @@ def _of_differences(t, percent):
             yield np.minimum(node[k], node[i]), np.maximum(node[k], node[i])
 
 
+@task
 def _list_pairs(batches, keys, of, percent):
     """``of`` for each list: rows come sorted by the list's keys and size, and a list may go over batches."""
     held = None

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsmith.llm.common import mix
+from vecsmith.llm.common import batches_of_rows, mix, task
 
 BUCKETS, ORDERS, PENALTY, PER_LANGUAGE = 1 << 15, (1, 2, 3), 12.0, 4000
 _CHARS, _ROWS = 1 << 20, 2000
@@ -206,10 +206,11 @@ def label(texts: list[str | None], model: Model, penalty: float = PENALTY):
     return langs, shares, spans
 
 
+@task
 def _learned(batches):
     """Per language: n-gram counts (one row an order) and letters a script, as sparse rows."""
     sums: dict = {}
-    for batch in batches:
+    for batch in batches_of_rows(batches):
         langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
         for lang in sorted(set(langs)):
             own = [t or "" for t, x in zip(texts, langs, strict=True) if x == lang]
@@ -255,16 +256,16 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
     return Model(languages, counts, letters)
 
 
+@task
 def _labelled(batches, model, penalty):
     model = model.value
-    for batch in batches:
+    for batch in batches_of_rows(batches, 5000):
         langs, shares, spans = label(batch.column("text").to_pylist(), model, penalty)
-        rest = [c for c in batch.schema.names if c != "text"]
-        yield pa.record_batch([*(batch.column(c) for c in rest), pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, _SPANS)], names=[*rest, "lang_pred", "score", "spans"])
+        yield pa.record_batch([*batch.columns, pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, _SPANS)], names=[*batch.schema.names, "lang_pred", "score", "spans"])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", penalty: float = PENALTY) -> DataFrame:
-    """(doc_id, lang_pred, score, spans) of each row of ``docs``; only the text is looked at.
+    """(doc_id, text, lang_pred, score, spans) of each row of ``docs``; only the text is looked at.
 
     ``spans`` has start and end (in characters) and language of each run of words of one language.
     ``score`` is the share of the letters that lie in spans of ``lang_pred``.
@@ -274,8 +275,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str =
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size for each language
-    kind = dict(slim.dtypes)["doc_id"]
-    return slim.mapInArrow(lambda it: _labelled(it, shared, penalty), f"doc_id {kind}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    return slim.mapInArrow(lambda it: _labelled(it, shared, penalty), f"doc_id {kind}, text string, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
 
 
 def held_out(id_column) -> F.Column:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsmith.llm.common import batches_of_rows, mix, stored
+from vecsmith.llm.common import batches_of_rows, mix, stored, task
 from vecsmith.llm.tokenizing import segment_ids
 
 LENGTH, DIMENSIONS, BITS = 2048, 3, 10
@@ -68,6 +68,7 @@ def curve_keys(ids: list[np.ndarray], table: np.ndarray, bits: int = BITS) -> np
 _TABLES: dict = {}
 
 
+@task
 def _tokenized(batches, path, dims, bits):
     encode = segment_ids(path)
     if (path, dims) not in _TABLES:
@@ -122,6 +123,7 @@ class _Packer:
         return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
 
+@task
 def _packed(batches, dtype, end_id, length):
     from pyspark import TaskContext
 

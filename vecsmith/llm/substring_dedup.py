@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsmith.llm.common import batches_of_rows, mix, signed, stored, window_hashes, word_hashes
+from vecsmith.llm.common import batches_of_rows, mix, signed, stored, task, window_hashes, word_hashes
 
 WIDTH, PERIOD = 35, 21
 #: A perfect difference set modulo 21.
@@ -62,9 +62,10 @@ def _joined(parts):
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
+@task
 def _anchors(batches, width, period):
     cover, short = np.array(difference_cover(period)), width - period + 1
-    for batch in batches:
+    for batch in batches_of_rows(batches, 10_000, 32 << 20):
         parts = []
         for text, k1, k2 in zip(*(batch.column(c).to_pylist() for c in ("text", "k1", "k2")), strict=True):
             words = text.encode().split() if text else []
@@ -78,6 +79,7 @@ def _anchors(batches, width, period):
             yield _places(*_joined(parts))
 
 
+@task
 def _windows(batches, width, period):
     for batch in batches_of_rows(batches):
         parts = []
@@ -94,6 +96,7 @@ def _windows(batches, width, period):
             yield _places(*_joined(parts))
 
 
+@task
 def _repeated(batches):
     """Places whose hash another place has, from rows sorted by hash; a run may go over batches."""
     held = None
@@ -134,6 +137,7 @@ def _by_text(places: DataFrame, name: str) -> DataFrame:
     return found.groupBy("k1", "k2").agg(F.collect_set("pos").alias(name))
 
 
+@task
 def _cut(batches, width):
     for batch in batches_of_rows(batches):
         words_of, removed_of, kept_of, spans_of = [], [], [], []

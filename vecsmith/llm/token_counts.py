@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from vecsmith.llm.common import batches_of_rows
+from vecsmith.llm.common import batches_of_rows, task
 
 LIMIT = 4096
 _KEPT = 500_000
@@ -143,6 +143,7 @@ def prefix_counts(path: str) -> PrefixCounts:
     return _BY_PATH[path]
 
 
+@task
 def _counted(batches, path):
     counts = prefix_counts(path)
     for batch in batches_of_rows(batches):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsmith.llm.common import batches_of_rows, dropped, filesystem, scratch_dir, stored
+from vecsmith.llm.common import batches_of_rows, dropped, filesystem, scratch_dir, stored, task
 from vecsmith.llm.files import ShardFile, committed, file_rows, listed
 from vecsmith.llm.tokenizing import segment_ids
 
@@ -57,6 +57,7 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 _RAW = "part int, seq long, doc_id long, ids binary, counts binary"
 
 
+@task
 def _tokenized(batches, path: str, end_id: int):
     """Ids of each document, in order; the task's last row has its counts of all ids instead."""
     from pyspark import TaskContext
@@ -74,6 +75,7 @@ def _tokenized(batches, path: str, end_id: int):
     yield rows([seq], pa.array([None], pa.int64()), [None], [counts.tobytes()])
 
 
+@task
 def _summed(batches):
     """(id, n): the sum of tasks' counts."""
     total = np.zeros(0, np.int64)
@@ -120,6 +122,7 @@ class _Shard:
 _MANIFEST = pa.schema([("temporary", pa.string()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())])
 
 
+@task
 def _written(batches, folder, dtype, file_bytes):
     fs, root = filesystem(folder)
     with fs.open_input_stream(f"{root}/ranks.bin") as f:
@@ -176,6 +179,7 @@ def read_blocks(stream):
         yield doc, valid, counts, decode_ranks(control, stream.read(size), ids)
 
 
+@task
 def _read(batches, folder):
     fs, root = filesystem(folder)
     with fs.open_input_stream(f"{root}/ranks.bin") as f:

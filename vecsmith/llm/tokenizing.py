@@ -7,7 +7,7 @@ from array import array
 
 import numpy as np
 
-_KEPT = 700_000
+_KEPT = 450_000
 #: Where cutting before each space could split a run of white space that the pre-tokenizer keeps whole.
 _RUNS = re.compile(r"\s [\s]|\s $")
 _MARK = "\0"
@@ -26,16 +26,20 @@ def _visible_bytes() -> dict[int, str]:
 
 
 class _Remembered(dict):
-    """Values of ``make`` by key; all are forgotten when there are too many."""
+    """Values of ``make`` by key, in two generations: of the older one only what is asked for again stays."""
 
-    def __init__(self, make):
+    def __init__(self, make, kept: int = _KEPT):
         super().__init__()
-        self.make = make
+        self.make, self.older, self.kept = make, {}, kept
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= _KEPT:
+        if len(self) >= self.kept:
+            self.older = dict(self)
             self.clear()
-        got = self[key] = self.make(key)
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        self[key] = got
         return got
 
 
@@ -44,8 +48,7 @@ class SegmentIds:
 
     A byte-level pre-tokenizer always ends a word before the space that leads
     the next one, so a text's ids are those of its space-led segments in turn.
-    Each distinct segment is encoded once and remembered (up to a fixed number,
-    then all are forgotten): plain ones are cut into pre-tokens here, which the
+    Each distinct segment is encoded once and remembered (up to a fixed number): plain ones are cut into pre-tokens here, which the
     library's model turns into ids; others go through the whole library.
     Texts with runs of white space, with the mark or with an added token in them
     go to the library whole.
@@ -85,6 +88,7 @@ class SegmentIds:
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes of ``dtype``; null and empty texts have none."""
         known, out = self.known.__getitem__, []
+        self.words.clear()  # words are shared by the segments of a call; across calls segments are enough
         for t in texts:
             if not t:
                 out.append(b"")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecsmith.llm.common import stored
+from vecsmith.llm.common import stored, task
 
 LISTS, SCALE = 4, 256
 QUERY_BLOCK = 2048
@@ -74,6 +74,7 @@ def _best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     return frame[frame.groupby("query_id").cumcount() < k]
 
 
+@task
 def _local_lists(batches, qids, queries, lists, k):
     """Phase 1 in a task: the exact scores of each list's k best rows, and of them the k best a query."""
     kept = None
@@ -98,6 +99,7 @@ def _local_lists(batches, qids, queries, lists, k):
         yield kept
 
 
+@task
 def _above(batches, qids, queries, cutoff, lists, k):
     """Phases 2 and 3 in a task: rows with a partial score of cutoff / lists in some list, then those whose sum reaches the cutoff."""
     kept = None

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsmith.llm.common import batches_of_rows, filesystem, scratch_dir
+from vecsmith.llm.common import batches_of_rows, filesystem, scratch_dir, task
 from vecsmith.llm.files import ShardFile, committed, file_rows, listed
 
 FILE_BYTES, SMALLEST = 64 << 20, 100
@@ -77,6 +77,7 @@ class _Shard:
 _MANIFEST = pa.schema([("temporary", pa.string()), ("name", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("sha256", pa.string())])
 
 
+@task
 def _written(batches, folder, file_bytes, smallest, level, date):
     from pyspark import TaskContext
 
@@ -164,6 +165,7 @@ _ROWS = "page_id long, url string, payload binary, payload_bytes long, payload_d
 _FIELDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("file", pa.string())])
 
 
+@task
 def _read(batches, folder, payloads):
     fs, root = filesystem(folder)
     for batch in batches:
