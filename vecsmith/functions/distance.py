@@ -50,8 +50,9 @@ def l2_by_norms(a, b) -> Column:
 
 def normalized(v, least: float = 1e-6) -> Column:
     """Unit vector; one whose norm is ``least`` or below stays as it is."""
-    n = norm(v)
-    return F.when(n > least, F.transform(doubles(v), lambda x: x / n)).otherwise(doubles(v))
+    # the norm is bound once, not worked out for each element
+    scale = F.when(norm(v) > least, norm(v)).otherwise(1.0)
+    return F.when(_c(v).isNotNull(), F.transform(F.array(scale), lambda n: F.transform(doubles(v), lambda x: x / n))[0])
 
 
 def hamming(a, b) -> Column:

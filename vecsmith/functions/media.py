@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def peak_normalized(samples: Column) -> Column:
     """Divided by the largest magnitude, unless that is 0."""
     peak = F.array_max(F.transform(samples, lambda x: F.abs(x)))
-    return F.when(peak > 0, F.transform(samples, lambda x: x / peak)).otherwise(samples)
+    return F.when(peak > 0, F.transform(F.array(peak), lambda p: F.transform(samples, lambda x: x / p))[0]).otherwise(samples)
 
 
 def segments(samples: Column, rate: Column, seconds: int = 30) -> Column:

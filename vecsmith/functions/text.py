@@ -37,9 +37,9 @@ def chunks(text: Column, size: int = 100) -> Column:
     """Windows of ``size`` words without overlap, joined by spaces; an empty text is one empty chunk."""
     if size < 1:
         raise ValueError("chunks need at least one word")
-    w = words(F.coalesce(text, F.lit("")))
-    starts = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(size))
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " "))
+    starts = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(size))
+    # the words are bound once; an expression inside the inner lambda would be worked out for each chunk
+    return F.transform(F.array(words(F.coalesce(text, F.lit("")))), lambda w: F.transform(starts(w), lambda i: F.array_join(F.slice(w, i + 1, size), " ")))[0]
 
 
 def chunk_id(file_id: Column, index: Column) -> Column:
