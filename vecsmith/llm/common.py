@@ -139,8 +139,12 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+#: What a worker process calls when a task ends, to forget what it remembered for it.
+AT_TASK_END: list = [_HASHES.clear]
+
+
 def task(function):
-    """For functions that tasks run over batches: at a task's end its free memory goes back to the system.
+    """For functions that tasks run over batches: at a task's end their memory goes back to the system.
 
     Worker processes live on between tasks, and would hold it beside the next stage's.
     """
@@ -160,6 +164,8 @@ def _relieve() -> None:
 
     import pyarrow as pa
 
+    for forget in AT_TASK_END:
+        forget()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -1,9 +1,10 @@
 """Exact duplicates by content-defined chunk recipes, in DataFrame operations only.
 
-Each normalised text is cut at sentence ends (content-defined boundaries).
-Distinct chunk texts move once, to prove that the 64-bit identifier of a chunk
-stands for one text; the rare ambiguous ones get an ordinal. Documents are then
-compared by their ordered identifier lists, so long texts never move again.
+Each normalised text is cut at sentence ends (content-defined boundaries). The
+64-bit identifier of a chunk is verified against the SHA-256 digests of all
+chunks that have it; the rare ambiguous ones are told apart by their texts, with an
+ordinal. Documents are then compared by their ordered identifier lists, so long
+texts never move.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ def chunks(text: Column, smallest: int = MIN_CHUNK, largest: int = MAX_CHUNK) ->
 def ambiguous_chunks(chunked: DataFrame, identify=F.xxhash64) -> DataFrame:
     """(id, chunk, ordinal) of those chunk texts whose identifier other texts share; mostly empty."""
     occurring = chunked.select(F.explode("_chunks").alias("chunk")).select(identify("chunk").alias("id"), "chunk")
-    shared = stored(occurring.distinct().groupBy("id").count().where("count > 1").select("id"), "shared")
+    digests = occurring.select("id", F.unhex(F.sha2(F.col("chunk").cast("binary"), 256)).alias("digest")).distinct()
+    shared = stored(digests.groupBy("id").count().where("count > 1").select("id"), "shared")
     if shared.isEmpty():
         return None
     texts = occurring.join(shared, "id", "left_semi").distinct()

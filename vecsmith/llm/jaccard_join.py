@@ -2,13 +2,19 @@
 
 Documents with equal shingle sets form one class. Classes are listed under the
 rarest shingles of their sets (a prefix that two sets of the needed overlap must
-share). A list is not paired out: every class first asks one set, the one of
-its lists that most sets resemble. The answers join classes into components, and whole
-list blocks within one component are skipped. Two sets that asked the same set L, and
-need a greater overlap than either has with L, must share shingles outside of L; so their
-answers are derived from their differences to L, which are short and listed in
-turn, while blocks of such sets are skipped in the first lists. What is left is compared
-one by one, skipping by size and by position in the list.
+share). A list is not paired out. Every class joins the group of one set, the one of its
+lists that resembles most others, and a group has a pivot: what most of its sets
+hold (in a small group, that set itself). Answers within a group are derived from
+each set's answer about the pivot:
+
+* With overlaps o and p with the pivot P, two sets overlap by o + p - |P| at least.
+  The member that this favours most links all that any such bound links.
+* If they need more than the smaller of o and p, they share a shingle outside of P.
+* Otherwise they share an element of their differences to P, on either side.
+
+Differences to P are short and are listed in turn, and the first lists skip all
+pairs within a group, by block. What is left is compared one by one, skipping
+by size, by position in the list and within components already joined.
 """
 
 from __future__ import annotations
@@ -26,6 +32,8 @@ WORDS, PERCENT = 4, 85
 #: Share of all hash values that make the first part of the order in which shingles are listed.
 _PART = 4
 _BLOOM = 1 << 26
+#: Groups of so many sets have a pivot by majority; smaller ones take the set they asked.
+_LARGE = 8
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -105,25 +113,14 @@ def _filter_bits(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def _answers(pairs: DataFrame, sets: DataFrame, percent: int, outside: bool = False) -> DataFrame:
-    """``pairs`` (a, b) with the exact overlap of their sets, their sizes, and whether they link.
-
-    With ``outside`` also the shingles of b that a has not: in a fixed order, as many as
-    any set must share one of that asked the same a and may still link with b.
-    """
+def _answers(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs`` (a, b), those whose sets link."""
     side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    out = both.withColumn("overlap", F.size(F.array_intersect("_a", "_b"))).withColumns({"size_a": F.size("_a"), "size_b": F.size("_b")})
-    linked = F.lit(100) * F.col("overlap") >= F.lit(percent) * (F.col("size_a") + F.col("size_b") - F.col("overlap"))
-    rest = []
-    if outside:
-        own = F.ceil(F.lit(percent) * F.col("size_b") / F.lit(100)).cast("int")
-        take = F.col("size_b") - F.col("overlap") - F.greatest(F.lit(1), own - F.col("overlap")) + 1
-        rest = [F.slice(F.array_sort(F.array_except("_b", "_a")), F.lit(1), F.greatest(F.lit(0), take)).alias("outside")]
-    return out.select("a", "b", "size_a", "size_b", "overlap", linked.alias("linked"), *rest)
+    both = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("overlap", F.size(F.array_intersect("_a", "_b")))
+    return both.where(F.lit(100) * F.col("overlap") >= F.lit(percent) * (F.size("_a") + F.size("_b") - F.col("overlap"))).select("a", "b")
 
 
-_ROW = ("node", "n", "pos", "root", "asked", "overlap")
+_ROW = ("node", "n", "pos", "root", "asked", "overlap", "pivot")
 
 
 def _least(n, m, percent):
@@ -132,51 +129,40 @@ def _least(n, m, percent):
 
 
 def _of_list(t, percent):
-    """Pairs of one list (rows in order of size) that may still link.
+    """Pairs of one list (rows in order of size) of different groups that may still link.
 
-    Rows that asked the same set form a block. A row whose overlap with that set is
-    below what any link needs skips its whole block: the lists of differences
-    answer for it. Other rows of the block skip those, and all of their own component.
+    Rows of one group are a block that its own rows skip.
     """
-    n, pos, root, asked, over, node = (t[c] for c in ("n", "pos", "root", "asked", "overlap", "node"))
-    far = over < -(-percent * n // 100)
+    n, pos, root, asked, node = (t[c] for c in ("n", "pos", "root", "asked", "node"))
     strangers = {a: np.flatnonzero(asked != a) if a >= 0 else np.arange(len(n)) for a in np.unique(asked)}
-    close = {a: np.flatnonzero((asked == a) & ~far) for a in strangers if a >= 0}
-    close = {a: at if len(np.unique(root[at])) > 1 else at[:0] for a, at in close.items()}
     for i in range(1, len(n)):
-        a = int(asked[i])
-        k = strangers[a]
+        k = strangers[asked[i]]
         k = k[: np.searchsorted(k, i)]
-        if a >= 0 and not far[i] and len(close[a]):
-            k = np.concatenate([k, close[a][: np.searchsorted(close[a], i)]])
-        if not len(k):
-            continue
-        least = _least(n[k], n[i], percent)
-        rest = 1 + np.minimum(n[k] - pos[k] - 1, n[i] - pos[i] - 1) + np.minimum(pos[k], pos[i])
-        same = (asked[k] == a) & (a >= 0)
-        known = np.minimum(over[k], over[i]) + np.minimum(n[k] - over[k], n[i] - over[i])
-        ok = (100 * n[k] >= percent * n[i]) & (root[k] != root[i]) & (rest >= least) & (asked[k] != node[i]) & (node[k] != a)
-        ok &= ~same | (least <= np.minimum(over[k], over[i])) & (known >= least)
-        k = k[ok]
+        if len(k):
+            rest = 1 + np.minimum(n[k] - pos[k] - 1, n[i] - pos[i] - 1) + np.minimum(pos[k], pos[i])
+            k = k[(100 * n[k] >= percent * n[i]) & (root[k] != root[i]) & (rest >= _least(n[k], n[i], percent))]
         if len(k):
             yield np.minimum(node[k], node[i]), np.maximum(node[k], node[i])
 
 
-def _of_differences(t, percent):
-    """Pairs of sets that asked the same set and share a shingle outside of it."""
-    n, root, over, node = (t[c] for c in ("n", "root", "overlap", "node"))
+def _of_differences(t, percent, outside):
+    """Pairs of a group's sets that share an element of their differences to the pivot.
+
+    ``outside``: those that need more overlap than one of them has with the pivot; else the others.
+    """
+    n, root, over, node, pivot = (t[c] for c in ("n", "root", "overlap", "node", "pivot"))
     if len(np.unique(root)) < 2:
         return
     for i in range(1, len(n)):
         k = np.flatnonzero(root[:i] != root[i])
         least, both = _least(n[k], n[i], percent), np.minimum(over[k], over[i])
-        k = k[(100 * n[k] >= percent * n[i]) & (least > both) & (both + np.minimum(n[k] - over[k], n[i] - over[i]) >= least)]
+        beyond = np.minimum(n[k] - over[k], n[i] - over[i])  # common shingles outside of the pivot, at most
+        k = k[(100 * n[k] >= percent * n[i]) & ((least > both) == outside) & (both + beyond >= least)]
         if len(k):
             yield np.minimum(node[k], node[i]), np.maximum(node[k], node[i])
 
 
-@task
-def _list_pairs(batches, keys, of, percent):
+def _list_pairs(batches, keys, of):
     """``of`` for each list: rows come sorted by the list's keys and size, and a list may go over batches."""
     held = None
 
@@ -187,7 +173,7 @@ def _list_pairs(batches, keys, of, percent):
         edge = np.flatnonzero(new)
         for a, b in zip([0, *edge], [*edge, len(new)], strict=True):
             if b - a > 1:
-                for x, y in of({c: v[a:b] for c, v in t.items()}, percent):
+                for x, y in of({c: v[a:b] for c, v in t.items()}):
                     yield pa.record_batch({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
     for batch in batches:
@@ -234,7 +220,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / F.lit(100)).cast("long") + 1
     take = F.when(F.col("wide"), F.size("shared")).otherwise(F.greatest(F.lit(0), F.least(F.size("shared").cast("long"), prefix - alone))).cast("int")
     ranked = shared.join(nodes, ["c1", "c2"]).select(
-        "node", "c1", "c2", "n", (F.size("shared") / F.col("listed")).alias("resembled"), F.when(F.col("wide"), F.lit(0)).otherwise(alone).alias("alone"),
+        "node", "c1", "c2", "n", (F.aggregate("shared", F.lit(0.0), lambda s, x: s + x["df"]) / F.col("listed")).alias("resembled"), F.when(F.col("wide"), F.lit(0)).otherwise(alone).alias("alone"),
         F.slice(F.array_sort("shared"), F.lit(1), take).alias("list"),
     ).where("size(list) > 0")
     ranked = stored(ranked, "ranked")
@@ -248,25 +234,62 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     sets = slim.select("text").mapInArrow(lambda it: _wanted_sets(it, width, bits), "c1 long, c2 long, shingles array<long>")
     sets = stored(sets.join(wanted, ["c1", "c2"]).groupBy("node", "c1").agg(F.first("shingles").alias("shingles")).select("node", "shingles"), "sets", "lz4")
 
-    fits = F.lit(100) * F.least("n", "best.n") >= F.lit(percent) * F.greatest("n", "best.n")
-    asks = lists.where(fits & (F.struct("best.resembled", "best.node") > F.struct("resembled", "node"))).groupBy("node").agg(F.max(F.struct("best.resembled", "best.node")).alias("ask"))
-    told = stored(_answers(asks.select(F.col("node").alias("b"), F.col("ask.node").alias("a")), sets, percent, outside=True), "told")
-    links = told.where("linked").select("a", "b")
+    groups = stored(_groups(lists, sets, percent), "groups")
+    # the member by which the bound o + p - |P| links most
+    worth = F.lit(100 + percent) * F.col("overlap") - F.lit(percent) * F.col("n")
+    first = groups.groupBy("asked").agg(F.max(F.struct(worth.alias("worth"), "node")).alias("first"))
+    sure = groups.join(first, "asked").where((F.col("node") != F.col("first.node")) & (worth + F.col("first.worth") >= F.lit(100 + percent) * F.col("pivot")))
+    links = stored(sure.select(F.col("first.node").alias("a"), F.col("node").alias("b")), "sure")
     roots = components(links)
-    rooted = lambda rows: rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    answered = told.select(F.col("b").alias("node"), F.col("a").alias("asked"), F.col("overlap").cast("long").alias("overlap"))
-    open_ = _several(rooted(lists.drop("best", "resembled")), ["h"]).join(answered, "node", "left")
-    open_ = open_.select("h", "node", "n", "pos", "root", F.coalesce("asked", F.lit(-1)).alias("asked"), F.coalesce("overlap", F.lit(0)).alias("overlap"))
-    rest = open_.repartition("h").sortWithinPartitions("h", "n", "pos").mapInArrow(lambda it: _list_pairs(it, ("h",), _of_list, percent), "a long, b long")
-    apart = told.select(F.col("b").alias("node"), F.col("size_b").cast("long").alias("n"), F.lit(0).cast("long").alias("pos"), F.col("a").alias("asked"), F.col("overlap").cast("long").alias("overlap"), F.explode("outside").alias("h"))
-    apart = _several(rooted(apart), ["asked", "h"]).select("h", "node", "n", "pos", "root", "asked", "overlap")
-    derived = apart.repartition("asked", "h").sortWithinPartitions("asked", "h", "n").mapInArrow(lambda it: _list_pairs(it, ("asked", "h"), _of_differences, percent), "a long, b long")
-    pairs = rest.unionByName(derived).distinct()
-    last = stored(_answers(pairs, sets, percent).where("linked").select("a", "b"), "last")
+    rooted = lambda rows, roots: rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    slim_rows = groups.select("node", "n", F.lit(0).cast("long").alias("pos"), "asked", "overlap", "pivot", "outside", "both", worth.alias("worth"))
+    near = slim_rows.withColumn("h", F.explode("both")).drop("outside", "both")
+    # of those that no bound links, each asks the best other member that shares a difference
+    now = stored(_several(rooted(near, roots), ["asked", "h"]), "near")
+    best = now.groupBy("asked", "h").agg(F.max(F.struct("worth", "node", "root")).alias("best"))
+    asks = now.join(best, ["asked", "h"]).where("root <> best.root").groupBy("node").agg(F.max(F.struct("best.worth", "best.node")).alias("ask"))
+    more = stored(_answers(asks.select(F.col("node").alias("b"), F.col("ask.node").alias("a")), sets, percent), "more")
+    links = links.unionByName(more)
+    roots = components(links)
+
+    member = groups.select("node", "asked")
+    open_ = _several(rooted(lists.select("h", "node", "n", "pos"), roots), ["h"]).join(member, "node", "left")
+    open_ = open_.select("h", "node", "n", "pos", "root", F.coalesce("asked", F.lit(-1)).alias("asked"), F.lit(0).cast("long").alias("overlap"), F.lit(0).cast("long").alias("pivot"))
+    pairs = open_.repartition("h").sortWithinPartitions("h", "n", "pos").mapInArrow(lambda it: _list_pairs(it, ("h",), lambda t: _of_list(t, percent)), "a long, b long")
+    for column, outside in (("outside", True), ("both", False)):
+        apart = slim_rows.withColumn("h", F.explode(column)).select("h", "node", "n", "pos", "asked", "overlap", "pivot")
+        apart = _several(rooted(apart, roots), ["asked", "h"]).repartition("asked", "h").sortWithinPartitions("asked", "h", "n")
+        pairs = pairs.unionByName(apart.mapInArrow(lambda it, o=outside: _list_pairs(it, ("asked", "h"), lambda t: _of_differences(t, percent, o)), "a long, b long"))
+    last = stored(_answers(pairs.distinct(), sets, percent), "last")
     return known.join(nodes.select("c1", "c2", "node"), ["c1", "c2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), links.unionByName(last)
 
 
+def _groups(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, asked, n, overlap, pivot, outside, both): each listed set's group and how it differs from the pivot.
+
+    ``pivot`` is the pivot's size. ``outside`` has shingles that the pivot lacks, in a
+    fixed order, as many as a link needs one of; ``both`` has the differences on either side,
+    of sets whose overlap with the pivot could be enough for a link.
+    """
+    fits = F.lit(100) * F.least("n", "best.n") >= F.lit(percent) * F.greatest("n", "best.n")
+    asks = lists.where(fits & (F.col("best.node") != F.col("node"))).groupBy("node").agg(F.max(F.struct("best.resembled", "best.node")).alias("ask")).select("node", F.col("ask.node").alias("asked"))
+    heads = asks.select(F.col("asked").alias("node")).distinct()
+    members = asks.join(heads, "node", "left_anti").unionByName(heads.select("node", F.col("node").alias("asked")))
+    members = stored(members.join(sets, "node").select("node", "asked", "shingles"), "members", "lz4")
+    count = members.groupBy("asked").agg(F.count(F.lit(1)).alias("m"))
+    large = stored(count.where(F.col("m") >= _LARGE), "large")
+    votes = members.join(large, "asked").select("asked", "m", F.explode("shingles").alias("h")).groupBy("asked", "m", "h").agg(F.count(F.lit(1)).alias("k"))
+    pivots = votes.where("2 * k > m").groupBy("asked").agg(F.collect_list("h").alias("pivot"))
+    own = members.where("node = asked").join(large, "asked", "left_anti").select("asked", F.col("shingles").alias("pivot"))
+    pivots = stored(own.unionByName(large.join(pivots, "asked", "left").select("asked", F.coalesce("pivot", F.array().cast("array<long>")).alias("pivot"))), "pivots", "lz4")
+    both = members.join(pivots, "asked").withColumns({"n": F.size("shingles"), "overlap": F.size(F.array_intersect("shingles", "pivot")), "outside": F.array_sort(F.array_except("shingles", "pivot"))})
+    needs = F.ceil(F.lit(percent) * F.col("n") / F.lit(100)).cast("int")
+    take = F.size("outside") - F.greatest(F.lit(1), needs - F.col("overlap")) + 1
+    differing = F.when(F.col("overlap") >= needs, F.array_union("outside", F.array_except("pivot", "shingles"))).otherwise(F.array().cast("array<long>"))
+    return both.select("node", "asked", F.col("n").cast("long").alias("n"), F.col("overlap").cast("long").alias("overlap"), F.size("pivot").cast("long").alias("pivot"), F.slice("outside", F.lit(1), F.greatest(F.lit(0), take)).alias("outside"), differing.alias("both"))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs``.
 

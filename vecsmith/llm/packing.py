@@ -48,7 +48,7 @@ def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
 def projection(vocabulary: int, dims: int) -> np.ndarray:
     """A fixed pseudo-random row of ``dims`` numbers in -1 to 1 for each token id."""
     cells = mix(np.arange(1, vocabulary * dims + 1, dtype=np.uint64)).reshape(vocabulary, dims)
-    return (cells >> np.uint64(11)).astype(np.float64) / 2**52 - 1
+    return ((cells >> np.uint64(11)).astype(np.float64) / 2**52 - 1).astype(np.float32)
 
 
 def curve_keys(ids: list[np.ndarray], table: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -56,10 +56,10 @@ def curve_keys(ids: list[np.ndarray], table: np.ndarray, bits: int = BITS) -> np
     sizes = np.array([len(x) for x in ids])
     sums = np.zeros((len(ids), table.shape[1]))
     if sizes.sum():
-        flat = np.concatenate([x for x in ids if len(x)])
+        flat = np.concatenate([x for x in ids if len(x)]).astype(np.intp)
         starts = np.cumsum(sizes[sizes > 0]) - sizes[sizes > 0]
-        for d in range(table.shape[1]):
-            sums[sizes > 0, d] = np.add.reduceat(table[:, d][flat], starts)
+        for d, column in enumerate(np.ascontiguousarray(table.T)):
+            sums[sizes > 0, d] = np.add.reduceat(column.take(flat), starts)
     norm = np.sqrt((sums**2).sum(axis=1, keepdims=True))
     unit = np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0)
     return hilbert_keys(np.minimum((unit + 1) / 2 * (1 << bits), (1 << bits) - 1), bits)

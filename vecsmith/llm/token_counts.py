@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from vecsmith.llm.common import batches_of_rows, task
+from vecsmith.llm.common import AT_TASK_END, batches_of_rows, task
 
 LIMIT = 4096
 _KEPT = 500_000
@@ -140,6 +140,7 @@ def prefix_counts(path: str) -> PrefixCounts:
     """One model for each worker process and model file."""
     if path not in _BY_PATH:
         _BY_PATH[path] = PrefixCounts(path)
+        AT_TASK_END.append(_BY_PATH[path].known.clear)
     return _BY_PATH[path]
 
 

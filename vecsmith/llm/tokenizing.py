@@ -7,7 +7,9 @@ from array import array
 
 import numpy as np
 
-_KEPT = 450_000
+from vecsmith.llm.common import AT_TASK_END
+
+_KEPT = 700_000
 #: Where cutting before each space could split a run of white space that the pre-tokenizer keeps whole.
 _RUNS = re.compile(r"\s [\s]|\s $")
 _MARK = "\0"
@@ -26,20 +28,16 @@ def _visible_bytes() -> dict[int, str]:
 
 
 class _Remembered(dict):
-    """Values of ``make`` by key, in two generations: of the older one only what is asked for again stays."""
+    """Values of ``make`` by key; all are forgotten when there are too many."""
 
-    def __init__(self, make, kept: int = _KEPT):
+    def __init__(self, make):
         super().__init__()
-        self.make, self.older, self.kept = make, {}, kept
+        self.make = make
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.kept:
-            self.older = dict(self)
+        if len(self) >= _KEPT:
             self.clear()
-        got = self.older.get(key)
-        if got is None:
-            got = self.make(key)
-        self[key] = got
+        got = self[key] = self.make(key)
         return got
 
 
@@ -48,7 +46,7 @@ class SegmentIds:
 
     A byte-level pre-tokenizer always ends a word before the space that leads
     the next one, so a text's ids are those of its space-led segments in turn.
-    Each distinct segment is encoded once and remembered (up to a fixed number): plain ones are cut into pre-tokens here, which the
+    Each distinct segment is encoded once and remembered (within a task, and up to a fixed number): plain ones are cut into pre-tokens here, which the
     library's model turns into ids; others go through the whole library.
     Texts with runs of white space, with the mark or with an added token in them
     go to the library whole.
@@ -65,6 +63,10 @@ class SegmentIds:
         self.visible = _visible_bytes()
         self.known, self.words = _Remembered(self._segment), _Remembered(self._word)
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.words.clear()
+
     def _whole(self, text: str) -> bool:
         return _MARK in text or _RUNS.search(text) is not None or any(a in text for a in self.added)
 
@@ -88,7 +90,6 @@ class SegmentIds:
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes of ``dtype``; null and empty texts have none."""
         known, out = self.known.__getitem__, []
-        self.words.clear()  # words are shared by the segments of a call; across calls segments are enough
         for t in texts:
             if not t:
                 out.append(b"")
@@ -109,4 +110,5 @@ def segment_ids(path: str) -> SegmentIds:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _BY_PATH[path] = SegmentIds(path)
+        AT_TASK_END.append(_BY_PATH[path].forget)
     return _BY_PATH[path]
