@@ -108,6 +108,24 @@ from m""",
 with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents)
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(norm) as text_sha256
 from t window w as (partition by norm)""",
+    "op4_substring_dedup": """
+with t as (select row_number() over () as r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+a as (select r, list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i : i + 34], ' '))) as hs from t where len(w) >= 35),
+h as (select r, unnest(hs) as h, unnest(range(1, len(hs) + 1)) as i from a),
+d as (select r, i from (select r, i, count(*) over (partition by h) as n from h) where n > 1),
+g as (select distinct r, unnest(range(i, i + 35)) as i from d),
+x as (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from t),
+k as (select x.r, string_agg(word, ' ' order by x.i) filter (g.i is null) as kept, count(g.i) as gone from x left join g on x.r = g.r and x.i = g.i group by x.r)
+select doc_id, len(w)::bigint as n_words, coalesce(gone, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from t left join k using (r)""",
+    "op7_jaccard_join": """
+with recursive t as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, unnest(list_distinct(case when len(w) between 1 and 3 then [array_to_string(w, ' ')] else list_transform(range(1, greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i : i + 3], ' ')) end)) as h from t),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as i from s a join s b on a.h = b.h and a.doc_id <> b.doc_id group by all),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * i >= 85 * (a.n + b.n - i)),
+r as (select doc_id as x, doc_id as y from t union select r.x, l.y from r join l on r.y = l.x)
+select doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(r.y) as component_id from t left join n using (doc_id) join r on r.x = doc_id group by doc_id""",
     "op9_topk_search": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
