@@ -120,7 +120,7 @@ def _answers(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * F.col("overlap") >= F.lit(percent) * (F.size("_a") + F.size("_b") - F.col("overlap"))).select("a", "b")
 
 
-_ROW = ("node", "n", "pos", "root", "asked", "overlap", "pivot")
+_ROW = ("node", "n", "pos", "alone", "root", "asked", "overlap", "pivot")
 
 
 def _least(n, m, percent):
@@ -131,16 +131,19 @@ def _least(n, m, percent):
 def _of_list(t, percent):
     """Pairs of one list (rows in order of size) of different groups that may still link.
 
-    Rows of one group are a block that its own rows skip.
+    Rows of one group are a block that its own rows skip. ``alone`` counts shingles
+    at the list's beginning that no other set has: they cannot be common.
     """
-    n, pos, root, asked, node = (t[c] for c in ("n", "pos", "root", "asked", "node"))
+    n, pos, alone, root, asked, node = (t[c] for c in ("n", "pos", "alone", "root", "asked", "node"))
     strangers = {a: np.flatnonzero(asked != a) if a >= 0 else np.arange(len(n)) for a in np.unique(asked)}
     for i in range(1, len(n)):
         k = strangers[asked[i]]
         k = k[: np.searchsorted(k, i)]
         if len(k):
-            rest = 1 + np.minimum(n[k] - pos[k] - 1, n[i] - pos[i] - 1) + np.minimum(pos[k], pos[i])
-            k = k[(100 * n[k] >= percent * n[i]) & (root[k] != root[i]) & (rest >= _least(n[k], n[i], percent))]
+            least = _least(n[k], n[i], percent)
+            rest = 1 + np.minimum(n[k] - pos[k] - 1, n[i] - pos[i] - 1) + np.minimum(pos[k] - alone[k], pos[i] - alone[i])
+            some = np.minimum(n[k] - alone[k], n[i] - alone[i])
+            k = k[(100 * n[k] >= percent * n[i]) & (root[k] != root[i]) & (rest >= least) & (some >= least)]
         if len(k):
             yield np.minimum(node[k], node[i]), np.maximum(node[k], node[i])
 
@@ -224,7 +227,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
         F.slice(F.array_sort("shared"), F.lit(1), take).alias("list"),
     ).where("size(list) > 0")
     ranked = stored(ranked, "ranked")
-    lists = ranked.select("node", "n", "resembled", "alone", F.posexplode("list").alias("i", "s")).select("node", "n", "resembled", (F.col("alone") + F.col("i")).cast("long").alias("pos"), F.col("s.h").alias("h"))
+    lists = ranked.select("node", "n", "resembled", "alone", F.posexplode("list").alias("i", "s")).select("node", "n", "resembled", F.col("alone").cast("long").alias("alone"), (F.col("alone") + F.col("i")).cast("long").alias("pos"), F.col("s.h").alias("h"))
     # the set of each list that most sets resemble
     best = lists.groupBy("h").agg(F.max(F.struct("resembled", "node", "n")).alias("best"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     lists = stored(lists.join(best, "h"), "lists")
@@ -243,7 +246,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     roots = components(links)
     rooted = lambda rows, roots: rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    slim_rows = groups.select("node", "n", F.lit(0).cast("long").alias("pos"), "asked", "overlap", "pivot", "outside", "both", worth.alias("worth"))
+    slim_rows = groups.select("node", "n", F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("alone"), "asked", "overlap", "pivot", "outside", "both", worth.alias("worth"))
     near = slim_rows.withColumn("h", F.explode("both")).drop("outside", "both")
     # of those that no bound links, each asks the best other member that shares a difference
     now = stored(_several(rooted(near, roots), ["asked", "h"]), "near")
@@ -254,11 +257,11 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     roots = components(links)
 
     member = groups.select("node", "asked")
-    open_ = _several(rooted(lists.select("h", "node", "n", "pos"), roots), ["h"]).join(member, "node", "left")
-    open_ = open_.select("h", "node", "n", "pos", "root", F.coalesce("asked", F.lit(-1)).alias("asked"), F.lit(0).cast("long").alias("overlap"), F.lit(0).cast("long").alias("pivot"))
+    open_ = _several(rooted(lists.select("h", "node", "n", "pos", "alone"), roots), ["h"]).join(member, "node", "left")
+    open_ = open_.select("h", "node", "n", "pos", "alone", "root", F.coalesce("asked", F.lit(-1)).alias("asked"), F.lit(0).cast("long").alias("overlap"), F.lit(0).cast("long").alias("pivot"))
     pairs = open_.repartition("h").sortWithinPartitions("h", "n", "pos").mapInArrow(lambda it: _list_pairs(it, ("h",), lambda t: _of_list(t, percent)), "a long, b long")
     for column, outside in (("outside", True), ("both", False)):
-        apart = slim_rows.withColumn("h", F.explode(column)).select("h", "node", "n", "pos", "asked", "overlap", "pivot")
+        apart = slim_rows.withColumn("h", F.explode(column)).select("h", "node", "n", "pos", "alone", "asked", "overlap", "pivot")
         apart = _several(rooted(apart, roots), ["asked", "h"]).repartition("asked", "h").sortWithinPartitions("asked", "h", "n")
         pairs = pairs.unionByName(apart.mapInArrow(lambda it, o=outside: _list_pairs(it, ("asked", "h"), lambda t: _of_differences(t, percent, o)), "a long, b long"))
     last = stored(_answers(pairs.distinct(), sets, percent), "last")
