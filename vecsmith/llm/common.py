@@ -63,6 +63,18 @@ def shuffle_cleanup(spark: SparkSession):
             spark.conf.set(_CLEANUP, before)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Within it, queries send so many rows to Python at once: Arrow buffers lie outside of the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def filesystem(uri: str):
     """pyarrow's file system and path for a folder in shared storage."""
     from pyarrow import fs

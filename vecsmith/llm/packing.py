@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsmith.llm.common import batches_of_rows, mix, stored, task
+from vecsmith.llm.common import batches_of_rows, mix, small_batches, stored, task
 from vecsmith.llm.tokenizing import segment_ids
 
 LENGTH, DIMENSIONS, BITS = 2048, 3, 10
@@ -148,7 +148,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
     group of copies spreads over partitions. An empty table gives no rows.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keyed = stored(slim.mapInArrow(lambda it: _tokenized(it, tokenizer, dims, bits), "doc_id long, key long, ids binary"), "keyed")
+    with small_batches(docs.sparkSession):
+        keyed = stored(slim.mapInArrow(lambda it: _tokenized(it, tokenizer, dims, bits), "doc_id long, key long, ids binary"), "keyed")
     dtype = segment_ids(tokenizer).dtype
     curve = keyed.repartitionByRange("key", F.xxhash64("doc_id")).sortWithinPartitions("key", F.xxhash64("doc_id"))
     return curve.mapInArrow(lambda it: _packed(it, dtype, end_id, length), _PIECES)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsmith.llm.common import batches_of_rows, dropped, filesystem, scratch_dir, stored, task
+from vecsmith.llm.common import batches_of_rows, dropped, filesystem, scratch_dir, small_batches, stored, task
 from vecsmith.llm.files import ShardFile, committed, file_rows, listed
 from vecsmith.llm.tokenizing import segment_ids
 
@@ -152,7 +152,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     folder = folder or f"{scratch_dir(spark)}/ids"
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = slim.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    raw = stored(order.mapInArrow(lambda it: _tokenized(it, tokenizer, end_id), _RAW), "raw")
+    with small_batches(spark):
+        raw = stored(order.mapInArrow(lambda it: _tokenized(it, tokenizer, end_id), _RAW), "raw")
     dtype = segment_ids(tokenizer).dtype
     counts = raw.where("counts is not null").select("counts").mapInArrow(_summed, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     by_rank = [r["id"] for r in counts.orderBy(F.desc("n"), "id").collect()]  # at most the vocabulary

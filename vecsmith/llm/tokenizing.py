@@ -9,7 +9,7 @@ import numpy as np
 
 from vecsmith.llm.common import AT_TASK_END
 
-_KEPT = 700_000
+_KEPT = 400_000
 #: Where cutting before each space could split a run of white space that the pre-tokenizer keeps whole.
 _RUNS = re.compile(r"\s [\s]|\s $")
 _MARK = "\0"
