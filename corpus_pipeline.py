@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecsmith.llm.common import ascii_lower, stored
+from vecsmith.llm.common import ascii_lower, broadcast_if_small, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +32,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup: of equal texts the largest doc_id stays."""
     from vecsmith.llm.exact_dedup import exact_dedup
 
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).distinct()
-    # by id and text, so that rows of one id with other texts are told apart; other columns stay packed
-    sha = F.sha2(ascii_lower(F.col("text")).cast("binary"), 256)
+    # by id and text, so that rows of one id with other texts are told apart; texts stay where they are while few rows go
+    gone = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("sha")).distinct()
+    gone = broadcast_if_small(stored(gone, "gone"))
+    sha = F.unhex(F.sha2(ascii_lower(F.col("text")).cast("binary"), 256))
     rows = docs.select(F.col("doc_id").alias("_id"), sha.alias("_sha"), F.struct(*docs.columns).alias("row"))
-    return rows.join(kept, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_sha") == F.col("sha")), "left_semi").select("row.*")
+    return rows.join(gone, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_sha") == F.col("sha")), "left_anti").select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from vecsmith.llm.jaccard_join import jaccard_join
 
     parts = jaccard_join(docs, width=5, percent=80)
-    gone = parts.where("component_id <> doc_id").select("doc_id").distinct()
+    gone = broadcast_if_small(stored(parts.where("component_id <> doc_id").select("doc_id").distinct(), "gone"))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -53,6 +54,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from vecsmith.llm.mixing import mix
 
     copies = mix(docs, trim=False).where("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    copies = broadcast_if_small(stored(copies, "copies"))
     rows = docs.select(F.col("doc_id"), F.struct(*docs.columns).alias("row")).join(copies, "doc_id", "left")
     times = F.coalesce("copies", F.lit(1))  # rows without an id stay once
     return rows.where(times > 0).select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")

@@ -41,6 +41,11 @@ def stored(df: DataFrame, name: str = "table", codec: str = "zstd") -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(table: DataFrame, rows: int = 300_000) -> DataFrame:
+    """A stored table as a broadcast side if it has at most ``rows`` rows; else as it is, for a shuffled join."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def dropped(spark: SparkSession, table: DataFrame) -> None:
     """Delete the scratch table that ``stored`` returned, once nothing reads it."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
