@@ -88,3 +88,18 @@ def test_quality(spark):
     assert one[2].recall == 0 and one[2].ndcg == 0
     s = evaluate.summary(got, truth, 4).first()
     assert np.isclose(s.recall, 0.25) and np.isclose(s.f1, 0.25)
+
+
+@pytest.mark.parametrize("symmetric", [False, True])
+def test_pq_reranks_all(spark, symmetric):
+    """Coarse codes over more rows than a task takes at once: the exact scan's rows all the same."""
+    x = np.random.default_rng(3).standard_normal((6000, 8)).astype(np.float32)
+    x[4000:4020] = x[0]
+    df = frame(spark, x).repartition(2)
+    asked = df.where("vec_id % 300 = 0")
+    index = create_index("pq", 8, parts=2, bits=2).train(df).add(df)
+    got = index.search(asked, 5, symmetric=symmetric, rerank=True, base=df).toPandas()
+    for q, g in got.groupby("query_id"):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1)
+        assert g.sort_values("rank").vec_id.tolist() == np.argsort(d, kind="stable")[:5].tolist()
+    assert len(got) == 5 * 20

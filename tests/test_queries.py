@@ -25,6 +25,14 @@ def test_recall(spark, name):
     assert len(pairs(name) & truth) >= 0.9 * len(truth)
 
 
+@pytest.mark.parametrize("name", ["pq_reranked"])
+def test_recall_larger(spark, name):
+    larger = "/root/testdata/sf0.1"
+    pairs = lambda n: {(r.query_id, r.vec_id) for r in QUERIES[n](spark, larger).collect()}
+    truth = pairs("flat_l2_topk")
+    assert len(pairs(name) & truth) >= 0.9 * len(truth)
+
+
 def test_text_queries(spark):
     assert QUERIES["text_knn"](spark, DATA).where("rank = 1 and abs(score - 1) > 1e-6").count() == 0
     assert QUERIES["process_documents"](spark, DATA).where("n_chunks < 1").count() == 0

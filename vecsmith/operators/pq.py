@@ -1,4 +1,4 @@
-"""Product quantization: codes for sub-vectors, distances by table lookup, optional re-ranking."""
+"""Product quantization: codes for sub-vectors, distances by table lookup, optional exact re-ranking of all that may count."""
 
 from __future__ import annotations
 
@@ -7,9 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsmith.functions.distance import l2_squared
 from vecsmith.operators.kmeans import kmeans_local, nearest_cell
-from vecsmith.operators.search import matrix, query_blocks, top_k
+from vecsmith.operators.search import matrix, nearer, query_blocks, top_k
 
 
 class ProductQuantizer:
@@ -43,47 +42,65 @@ class ProductQuantizer:
         return np.stack([nearest_cell(cut[:, m], books[m]) for m in range(self.parts)], axis=1).astype(np.int16)
 
     def encode(self, base: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-        """(vec_id, codes): a small number for each sub-vector."""
-        self._trained()
+        """(vec_id, codes, error): a small number for each sub-vector, and how far the codes' vector lies from the row's."""
+        books = self._trained()
 
         def coded(batches):
             for b in batches:
                 if len(b):
-                    yield pd.DataFrame({"vec_id": b["vec_id"], "codes": list(self.codes_of(matrix(b["v"])))})
+                    rows = matrix(b["v"])
+                    codes = self.codes_of(rows)
+                    off = self._cut(rows) - np.stack([books[m][codes[:, m]] for m in range(self.parts)], axis=1)
+                    yield pd.DataFrame({"vec_id": b["vec_id"], "codes": list(codes), "error": np.sqrt((off**2).sum(axis=(1, 2)))})
 
         rows = base.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("v"))
-        return rows.mapInPandas(coded, "vec_id long, codes array<short>")
+        return rows.mapInPandas(coded, "vec_id long, codes array<short>, error double")
 
-    def search(self, codes: DataFrame, queries: DataFrame, k: int = 10, symmetric: bool = False, rerank: int = 0, base: DataFrame | None = None, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    def search(self, codes: DataFrame, queries: DataFrame, k: int = 10, symmetric: bool = False, rerank: bool = False, base: DataFrame | None = None, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
         """(query_id, rank, vec_id, score): sums of table entries.
 
         The tables hold distances of the query's sub-vectors to the codebook, or
-        with ``symmetric`` of its codes. ``rerank`` times k of them are ranked
-        again by exact squared L2 from ``base``.
+        with ``symmetric`` of its codes. ``rerank`` ranks by exact squared L2 from
+        ``base`` instead, and gives the exact scan's rows: a row is at least as far as its
+        codes' vector less the errors of the codes, and is only left out if that
+        exceeds the distance of k rows that its task has seen.
         """
         books = self._trained()
+        if rerank and base is None:
+            raise ValueError("re-ranking needs the vectors")
         asked = queries.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.col(vector).alias("q"))
-        keep = k * rerank if rerank else k
+        if rerank:
+            vectors = base.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("v"))
+            codes = codes.join(vectors, "vec_id")
         found = None
         for ids, block in query_blocks(asked, 512):
-            cut = self._cut(block)
+            cut, off = self._cut(block), np.zeros(len(block))
             if symmetric:
-                cut = np.stack([books[m][self.codes_of(block)[:, m]] for m in range(self.parts)], axis=1)
+                own = np.stack([books[m][self.codes_of(block)[:, m]] for m in range(self.parts)], axis=1)
+                cut, off = own, np.sqrt(((cut - own) ** 2).sum(axis=(1, 2)))
             tables = np.stack([((cut[:, m, None, :] - books[m][None, :, :]) ** 2).sum(axis=2) for m in range(self.parts)])
 
-            def looked_up(batches, ids=ids, tables=tables):
-                best = None
+            def looked_up(batches, ids=ids, tables=tables, block=block, off=off):
+                best, bound = None, np.full(len(ids), np.inf)
                 for b in batches:
                     for at in range(0, len(b), 2048):
                         some = b.iloc[at : at + 2048]
                         c, vec = np.stack(some["codes"].to_list()), some["vec_id"].to_numpy()
                         total = sum(tables[m][:, c[:, m]] for m in range(len(tables)))
-                        n = min(keep, len(vec))
+                        if rerank:
+                            least = np.sqrt(total) - off[:, None] - some["error"].to_numpy()
+                            may = least <= (np.sqrt(bound) * (1 + 1e-9) + 1e-9)[:, None]
+                            if (hit := may.any(axis=0)).any():
+                                best = nearer(best, matrix(some["v"][hit]), vec[hit], block, ids, may[:, hit], k)
+                                last = best[best.groupby("query_id").cumcount() == k - 1]
+                                bound[np.searchsorted(ids, last["query_id"])] = last["score"]
+                            continue
+                        n = min(k, len(vec))
                         edge = np.partition(total, n - 1, axis=1)[:, n - 1]
                         q, r = np.nonzero(total <= edge[:, None])
                         part = pd.DataFrame({"query_id": ids[q], "vec_id": vec[r], "score": total[q, r]})
                         best = (part if best is None else pd.concat([best, part])).sort_values(["query_id", "score", "vec_id"])
-                        best = best[best.groupby("query_id").cumcount() < keep]
+                        best = best[best.groupby("query_id").cumcount() < k]
                 if best is not None:
                     yield best
 
@@ -91,10 +108,4 @@ class ProductQuantizer:
             found = part if found is None else found.unionByName(part)
         if found is None:
             found = codes.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
-        near = top_k(found, keep, True)
-        if rerank:
-            if base is None:
-                raise ValueError("re-ranking needs the vectors")
-            near = near.select("query_id", "vec_id").join(base.select(F.col(id_col).alias("vec_id"), F.col(vector).alias("v")), "vec_id").join(asked, "query_id")
-            near = top_k(near.select("query_id", "vec_id", l2_squared("v", "q").alias("score")), k, True)
-        return near.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        return top_k(found, k, True).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -70,6 +70,19 @@ def _local(batches, qids, block, k, metric, ascending, skip_self):
         yield best[["query_id", "vec_id", "score"]]
 
 
+def nearer(best, rows: np.ndarray, ids: np.ndarray, block: np.ndarray, qids: np.ndarray, may: np.ndarray, k: int) -> pd.DataFrame:
+    """``best`` (query_id, vec_id, score; or None) and the rows that each query ``may`` (queries by rows) take, cut to k by exact squared L2."""
+    size = (block**2).sum(axis=1)
+    key = np.where(may, scores(rows, block, "l2").T, np.inf)
+    n = min(k, len(ids))
+    edge = np.partition(key, n - 1, axis=1)[:, n - 1]
+    slack = 1e-9 * np.maximum(1.0, size + (rows**2).sum(axis=1).max(initial=0.0))  # what rounding may hide
+    q, r = np.nonzero((key <= (edge + slack)[:, None]) & np.isfinite(key))
+    found = pd.DataFrame({"query_id": qids[q], "vec_id": ids[r], "score": ((rows[r] - block[q]) ** 2).sum(axis=1)})
+    best = (found if best is None else pd.concat([best, found])).sort_values(["query_id", "score", "vec_id"])
+    return best[best.groupby("query_id").cumcount() < k]
+
+
 def top_k(scored: DataFrame, k: int, ascending: bool, score: str = "score") -> DataFrame:
     """The k best rows of each query with their rank from 1, ties to the smaller id."""
     order = Window.partitionBy("query_id").orderBy(F.asc(score) if ascending else F.desc(score), "vec_id")

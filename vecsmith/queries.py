@@ -204,10 +204,10 @@ def pq_adc_topk(spark, sf_dir):
 
 @query()
 def pq_reranked(spark, sf_dir):
-    """Trained codebooks, symmetric tables, exact re-ranking; recall is tested."""
+    """Trained codebooks, exact ranking of all rows that the codes' errors cannot rule out."""
     base = _base(spark, sf_dir)
-    pq = ProductQuantizer(8, 6).fit(base)
-    return _shown(pq.search(pq.encode(base), _asked(base), K, symmetric=True, rerank=10, base=base))
+    pq = ProductQuantizer(8, 8).fit(base)
+    return _shown(pq.search(pq.encode(base), _asked(base), K, rerank=True, base=base))
 
 
 def _planes(dim: int) -> np.ndarray:
