@@ -103,3 +103,24 @@ def test_pq_reranks_all(spark, symmetric):
         d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1)
         assert g.sort_values("rank").vec_id.tolist() == np.argsort(d, kind="stable")[:5].tolist()
     assert len(got) == 5 * 20
+
+
+@pytest.mark.parametrize("probes", [0, 2])
+def test_lsh_ranks_all_candidates(spark, probes):
+    """All rows that share a band are ranked, and for queries with few of them those at one bit of a first band."""
+    x = np.random.default_rng(5).standard_normal((3000, 8)).astype(np.float32)
+    df = frame(spark, x).repartition(2)
+    index = create_index("lsh", 8).add(df)
+    got = index.search(df.where("vec_id % 100 = 0"), 60, probes=probes).toPandas()
+    bands = index.method.codes_of(x.astype(float)).astype("<i4").view(np.uint8)
+    few = 0
+    for q in range(0, 3000, 100):
+        apart = np.bitwise_count(bands ^ bands[q])
+        may = (apart <= probes).any(axis=1)
+        if may.sum() < 60:
+            few += 1
+            may |= apart[:, 0] <= 1
+        d = np.where(may, ((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1), np.inf)
+        want = np.argsort(d, kind="stable")[: min(60, may.sum())].tolist()
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == want
+    assert probes or 0 < few < 30

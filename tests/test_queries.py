@@ -25,7 +25,7 @@ def test_recall(spark, name):
     assert len(pairs(name) & truth) >= 0.9 * len(truth)
 
 
-@pytest.mark.parametrize("name", ["pq_reranked"])
+@pytest.mark.parametrize("name", ["pq_reranked", "lsh_search"])
 def test_recall_larger(spark, name):
     larger = "/root/testdata/sf0.1"
     pairs = lambda n: {(r.query_id, r.vec_id) for r in QUERIES[n](spark, larger).collect()}

@@ -1,35 +1,24 @@
-"""Locality-sensitive hashing: sign or parity codes, band joins, Hamming cut, exact re-ranking."""
+"""Locality-sensitive hashing: sign or parity codes, shared bands, exact ranking of all candidates."""
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecsmith.functions.distance import hamming, l2_squared
-from vecsmith.operators.search import matrix, query_blocks, top_k
+from vecsmith.operators.search import matrix, nearer, query_blocks, top_k
 
 BANDS, BAND_BITS = 4, 8
 
 
-def flips(code: int, bits: int, most: int) -> list[int]:
-    """The code and its neighbours at up to ``most`` flipped bits, nearest first."""
-    out = []
-    for n in range(most + 1):
-        out += [code ^ sum(1 << b for b in bit) for bit in itertools.combinations(range(bits), n)]
-    return out
-
-
 class HashTables:
     """Codes of ``tables`` x 32 bits.
 
     ``sign``: the bit of a plane is whether the product plus bias is positive.
     ``parity``: whether floor((product + bias) / r) is odd. Candidates share an
-    8-bit band of a code (or one at up to ``probes`` flipped bits); the ``keep``
-    nearest by Hamming distance are ranked by exact squared L2.
+    8-bit band of a code (or one at up to ``probes`` flipped bits); all of them
+    are ranked by exact squared L2.
     """
 
     def __init__(self, dim: int, tables: int = 1, r: float = 1.0, seed: int = 42, kind: str = "sign", planes: np.ndarray | None = None, bias: np.ndarray | None = None):
@@ -58,35 +47,42 @@ class HashTables:
         rows = base.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"))
         return rows.mapInPandas(coded, "vec_id long, vector array<float>, codes array<int>")
 
-    @staticmethod
-    def _bands(coded: DataFrame, *columns, probes: int = 0, bands: int = BANDS) -> DataFrame:
-        code = coded.select(*columns, F.posexplode("codes").alias("table", "code"))
-        sub = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.shiftrightunsigned("code", 0).cast("long").alias("_c")))
-        rows = code.select(*columns, "table", F.explode(sub).alias("s")).select(*columns, "table", F.col("s.band").alias("band"), F.expr("int(shiftrightunsigned(int(s._c), s.band * 8) & 255)").alias("sub"))
-        if probes:
-            near = [F.lit(x) for x in flips(0, BAND_BITS, probes)]
-            rows = rows.select(*columns, "table", "band", F.explode(F.transform(F.array(*near), lambda x: F.col("sub").bitwiseXOR(x))).alias("sub"))
-        return rows
-
-    def candidates(self, coded: DataFrame, asked: DataFrame, probes: int = 0) -> DataFrame:
-        """Distinct (query_id, vec_id) that share a band."""
-        left = self._bands(asked.select(F.col("vec_id").alias("query_id"), "codes"), "query_id", probes=probes)
-        return left.join(self._bands(coded, "vec_id"), ["table", "band", "sub"]).select("query_id", "vec_id").distinct()
-
-    def search(self, coded: DataFrame, asked: DataFrame, k: int = 10, keep: int | None = None, probes: int = 0) -> DataFrame:
+    def search(self, coded: DataFrame, asked: DataFrame, k: int = 10, probes: int = 0) -> DataFrame:
         """(query_id, rank, vec_id, score); both inputs from ``encode``.
 
         Queries with fewer than k candidates also get those at one flipped bit of the first band.
+        Queries go in blocks to all tasks, which send k rows a query of the candidates, and of these others.
         """
-        keep = keep or max(3 * k, 30)
-        near = self.candidates(coded, asked, probes)
-        few = asked.select(F.col("vec_id").alias("query_id"), "codes").join(near.groupBy("query_id").count().where(F.col("count") >= k), "query_id", "left_anti")
-        more = self._bands(few, "query_id", probes=1, bands=1).join(self._bands(coded, "vec_id", bands=1), ["table", "band", "sub"]).select("query_id", "vec_id")
-        near = near.unionByName(more).distinct()
-        both = near.join(coded, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q"), F.col("codes").alias("q_codes")), "query_id")
-        apart = F.aggregate(F.zip_with("codes", "q_codes", lambda a, b: hamming(a, b)), F.lit(0), lambda s, x: s + x)
-        ranked = both.withColumn("apart", apart).withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("apart", "vec_id"))).where(F.col("nth") <= keep)
-        scored = ranked.select("query_id", "vec_id", l2_squared("vector", "q").alias("score"))
+        found = None
+        for ids, block in query_blocks(asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q")), 512):
+            theirs = self.codes_of(block).astype("<i4").view(np.uint8)
+
+            def ranked(batches, ids=ids, block=block, theirs=theirs):
+                best = {False: None, True: None}
+                for b in batches:
+                    for at in range(0, len(b), 2048):
+                        some = b.iloc[at : at + 2048]
+                        mine = np.stack(some["codes"].to_list()).astype("<i4").view(np.uint8)
+                        may, first = np.zeros((len(ids), len(some)), bool), np.zeros((len(ids), len(some)), bool)
+                        for i in range(mine.shape[1]):
+                            apart = np.bitwise_count(theirs[:, i, None] ^ mine[None, :, i])
+                            may |= apart <= probes
+                            if i % BANDS == 0:
+                                first |= apart <= 1
+                        for more, ok in ((False, may), (True, first & ~may)):
+                            if (hit := ok.any(axis=0)).any():
+                                best[more] = nearer(best[more], matrix(some["vector"][hit]), some["vec_id"].to_numpy()[hit], block, ids, ok[:, hit], k)
+                for more, got in best.items():
+                    if got is not None:
+                        yield got.assign(more=more)
+
+            part = coded.mapInPandas(ranked, "query_id long, vec_id long, score double, more boolean")
+            found = part if found is None else found.unionByName(part)
+        if found is None:
+            found = coded.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, more boolean")
+        # a task that has fewer than k candidates sends them all, so these sums are below k exactly where all candidates are
+        count = F.count(F.when(~F.col("more"), 1)).over(Window.partitionBy("query_id"))
+        scored = found.withColumn("_n", count).where(~F.col("more") | (F.col("_n") < k)).drop("_n", "more")
         return top_k(scored, k, True).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
