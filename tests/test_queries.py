@@ -25,7 +25,7 @@ def test_recall(spark, name):
     assert len(pairs(name) & truth) >= 0.9 * len(truth)
 
 
-@pytest.mark.parametrize("name", ["pq_reranked", "lsh_search"])
+@pytest.mark.parametrize("name", ["pq_reranked", "lsh_search", "hnsw_search"])
 def test_recall_larger(spark, name):
     larger = "/root/testdata/sf0.1"
     pairs = lambda n: {(r.query_id, r.vec_id) for r in QUERIES[n](spark, larger).collect()}
@@ -33,6 +33,25 @@ def test_recall_larger(spark, name):
     assert len(pairs(name) & truth) >= 0.9 * len(truth)
 
 
+def test_graphs_grow(spark, monkeypatch):
+    """Graphs are bounded: a table of more rows has more of them."""
+    from vecsmith import queries
+
+    made = []
+
+    class Small(queries.ProximityGraphs):
+        def __init__(self, *args, **options):
+            super().__init__(*args, **options | {"rows": 50})
+
+        def fit(self, *args, **options):
+            made.append(super().fit(*args, **options))
+            return made[-1]
+
+    monkeypatch.setattr(queries, "ProximityGraphs", Small)
+    queries.hnsw_search(spark, DATA)
+    assert made[0].count() == 10
+
+
 def test_text_queries(spark):
     assert QUERIES["text_knn"](spark, DATA).where("rank = 1 and abs(score - 1) > 1e-6").count() == 0
     assert QUERIES["process_documents"](spark, DATA).where("n_chunks < 1").count() == 0

@@ -260,9 +260,10 @@ def annoy_search(spark, sf_dir):
 
 @query()
 def hnsw_search(spark, sf_dir):
+    """Graphs of about 2000 rows, as many as the table needs; recall is tested on a graph of that size."""
     base = _base(spark, sf_dir)
-    graphs = ProximityGraphs(16, 100, 64)
-    return _shown(graphs.search(graphs.fit(base, graphs=4), _asked(base), K))
+    graphs = ProximityGraphs(16, 100, 64, rows=2000)
+    return _shown(graphs.search(graphs.fit(base), _asked(base), K))
 
 
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '')"
