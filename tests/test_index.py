@@ -124,3 +124,18 @@ def test_lsh_ranks_all_candidates(spark, probes):
         want = np.argsort(d, kind="stable")[: min(60, may.sum())].tolist()
         assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == want
     assert probes or 0 < few < 30
+
+
+def test_copies_in_samples(spark):
+    """Copies of the vector that hashes lowest do not fill the training samples."""
+    from vecsmith.operators.pq import ProductQuantizer
+    from vecsmith.operators.trees import PlaneForest, PrunedCells
+
+    x = np.random.default_rng(9).standard_normal((300, 8)).astype(np.float32)
+    low = frame(spark, x).selectExpr("vec_id", "xxhash64(embedding, 42) as h").orderBy("h").first().vec_id
+    df = frame(spark, np.concatenate([x, np.repeat(x[low : low + 1], 150, axis=0)]))
+    assert len(np.unique(ProductQuantizer(2, 3, sample=100).fit(df).codebooks[0], axis=0)) == 8
+    assert PrunedCells("kd", leaf=10, sample=100).fit(df).cells > 1
+    forest = PlaneForest(4, 4, sample=100).fit(df)
+    cut = np.einsum("tkd,d->tk", forest.planes, x[low].astype(float))
+    assert not np.allclose(cut, forest.offsets)

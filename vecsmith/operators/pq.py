@@ -12,7 +12,7 @@ from vecsmith.operators.search import matrix, nearer, query_blocks, top_k
 
 
 class ProductQuantizer:
-    """``parts`` codebooks of ``2 ** bits`` sub-vectors, trained on at most ``sample`` rows (by a hash)."""
+    """``parts`` codebooks of ``2 ** bits`` sub-vectors, trained on at most ``sample`` rows (by a hash of the id)."""
 
     def __init__(self, parts: int = 8, bits: int = 8, seed: int = 42, codebooks: np.ndarray | None = None, sample: int = 16_384):
         if not 1 <= bits <= 15:
@@ -24,8 +24,9 @@ class ProductQuantizer:
             raise ValueError(f"dimension {rows.shape[1]} is no multiple of {self.parts}")
         return rows.reshape(len(rows), self.parts, -1)
 
-    def fit(self, base: DataFrame, vector: str = "embedding") -> ProductQuantizer:
-        got = base.where(F.col(vector).isNotNull()).select(F.col(vector).alias("v")).orderBy(F.xxhash64("v", F.lit(self.seed))).limit(self.sample).toPandas()
+    def fit(self, base: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> ProductQuantizer:
+        order = F.xxhash64(F.col(id_col).cast("long"), F.lit(self.seed)), F.xxhash64(vector)
+        got = base.where(F.col(vector).isNotNull()).orderBy(*order).limit(self.sample).select(F.col(vector).alias("v")).toPandas()
         if got.empty:
             raise ValueError("training needs rows")
         cut = self._cut(matrix(got["v"]))

@@ -13,8 +13,10 @@ from vecsmith.operators.search import matrix, scores, top_k
 _ASSIGNED = "vec_id long, vector array<float>, cell int"
 
 
-def _sampled(base: DataFrame, vector: str, sample: int, seed: int) -> np.ndarray:
-    got = base.where(F.col(vector).isNotNull()).select(F.col(vector).alias("v")).orderBy(F.xxhash64("v", F.lit(seed))).limit(sample).toPandas()
+def _sampled(base: DataFrame, id_col: str, vector: str, sample: int, seed: int) -> np.ndarray:
+    """Rows by a hash of the id, so that copies of a vector count as often as they occur."""
+    order = F.xxhash64(F.col(id_col).cast("long"), F.lit(seed)), F.xxhash64(vector)
+    got = base.where(F.col(vector).isNotNull()).orderBy(*order).limit(sample).select(F.col(vector).alias("v")).toPandas()
     if got.empty:
         raise ValueError("the index is empty")
     return matrix(got["v"])
@@ -62,7 +64,7 @@ class PrunedCells:
         return -node - 1
 
     def fit(self, base: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> PrunedCells:
-        rows = _sampled(base, vector, self.sample, self.seed)
+        rows = _sampled(base, id_col, vector, self.sample, self.seed)
         self.cuts, self.cells = [], 0
         self.root = self._split(rows, 0, max(self.leaf, len(rows) / self.most))
 
@@ -168,7 +170,7 @@ class PlaneForest:
         return {k: v for k, v in self.__dict__.items() if k != "assigned"}
 
     def fit(self, base: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> PlaneForest:
-        rows, rng = _sampled(base, vector, self.sample, self.seed), np.random.default_rng(self.seed)
+        rows, rng = _sampled(base, id_col, vector, self.sample, self.seed), np.random.default_rng(self.seed)
         self.planes = np.zeros((self.trees, self.depth, rows.shape[1]))
         self.offsets = np.zeros((self.trees, self.depth))
         for t in range(self.trees):
