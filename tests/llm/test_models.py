@@ -90,6 +90,19 @@ def test_mix(docs, docs_rows, clashing, empty):
     assert all(r.taken == r.copies * r.size for r in mix(docs, trim=False).collect())
 
 
+def test_mix_cut_copies(spark):
+    """A cap that is no whole number: a source of many documents gets its target by cut copies."""
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "ab"[i % 4 == 0]) for i in range(4000)], "doc_id long, text string, source string")
+    for share in (1.2, 1.5):
+        got = mix(docs, weights=(3.0, 1.0), share=share, cap=1.5).collect()
+        assert all(0 <= r.taken == r.copies * r.size + r.part <= 1.5 * r.size for r in got)
+        for s in "ab":
+            own = [r for r in got if r.source == s]
+            assert abs(sum(r.taken for r in own) - min(own[0].target, sum(int(1.5 * r.size) for r in own))) <= 1
+    with pytest.raises(ValueError):
+        mix(docs, cap=1.5, trim=False)
+
+
 VECTORS = "vec_id long, embedding array<float>, q string, rank int"
 
 

@@ -41,6 +41,11 @@ def shared_targets(sizes: list[int], weights: list[float], total: float, cap: fl
     return out
 
 
+def _top(cap: float):
+    """The most that a document of ``size`` words can be taken: ``cap``, or with a cut copy the whole words of it."""
+    return F.lit(cap) if cap == math.floor(cap) else F.when(F.col("size") > 0, F.floor(F.lit(cap) * F.col("size")) / F.col("size")).otherwise(F.lit(cap))
+
+
 def tilts(histogram: DataFrame, sources: list[dict], cap: float = CAP, tolerance: float = 1e-7, most: int = 60) -> list[float]:
     """The dual variable of each source (infinite if its target takes all at the cap).
 
@@ -48,7 +53,7 @@ def tilts(histogram: DataFrame, sources: list[dict], cap: float = CAP, tolerance
     step sums rates and slopes over it on the executors, for all sources at once.
     """
     spark = histogram.sparkSession
-    found = [math.inf if s["target"] >= cap * s["size"] * (1 - 1e-12) else 0.0 for s in sources]
+    found = [math.inf if s["target"] >= s.get("most", cap * s["size"]) * (1 - 1e-12) else 0.0 for s in sources]
     low, high = [-math.inf] * len(sources), [math.inf] * len(sources)
     open_ = [i for i, s in enumerate(sources) if s["size"] and not math.isinf(found[i])]
     for _ in range(most):
@@ -56,8 +61,8 @@ def tilts(histogram: DataFrame, sources: list[dict], cap: float = CAP, tolerance
             break
         dual = spark.createDataFrame([(sources[i]["sid"], found[i], sources[i]["size"] / sources[i]["rows"]) for i in open_], "sid int, lam double, mean double")
         z = F.col("size") / F.col("mean")
-        rate = F.least(F.lit(cap), F.exp(F.least(F.col("lam") * z, F.lit(50.0))))
-        slope = F.when(rate < cap, rate * z).otherwise(0.0)
+        rate = F.least(_top(cap), F.exp(F.least(F.col("lam") * z, F.lit(50.0))))
+        slope = F.when(rate < _top(cap), rate * z).otherwise(0.0)
         at = {r[0]: r for r in histogram.join(dual, "sid").groupBy("sid").agg(F.sum(F.col("n") * F.col("size") * rate), F.sum(F.col("n") * F.col("size") * slope)).collect()}
         still = []
         for i in open_:
@@ -82,16 +87,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     last, get ``weights`` in turn and share ``share`` of all words; no target
     exceeds ``cap`` times its source. ``copies`` are whole copies, ``part`` the
     words of one more, cut copy (negative: the words that one of them lacks), which at most
-    64 documents of a source have; ``taken = copies * size + part`` lies within 0 and ``cap`` sizes.
-    With ``trim=False`` there are only whole copies. Documents without words have
+    64 documents of a source have, and with a cap that is no whole number also those taken at the cap; ``taken = copies * size + part`` lies within 0 and ``cap`` sizes.
+    With ``trim=False`` there are only whole copies, so the cap must be a whole number. Documents without words have
     one copy of nothing. Repeated rows and null ids count as rows of their own; an empty
     table gives an empty result. Ties are ordered by a hash of the id, so reruns
     agree. One row for each source, and no document, comes to the driver.
     """
+    whole = math.floor(cap)
+    if not trim and cap != whole:
+        raise ValueError("whole copies need a cap that is a whole number")
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     slim = stored(docs.select(F.col(id_col).alias(id_col), F.col(source).cast("string").alias("source"), size.alias("size")), "sizes")
     histogram = stored(slim.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
-    rows = [r.asDict() for r in histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("rows")).collect()]
+    rows = [r.asDict() for r in histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("rows"), F.sum(F.floor(F.lit(cap) * F.col("size")) * F.col("n")).alias("most")).collect()]
     rows.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     wanted = shared_targets([r["size"] for r in rows], [weights[i % len(weights)] for i in range(len(rows))], share * sum(r["size"] for r in rows), cap)
     for i, r in enumerate(rows):
@@ -103,7 +111,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
         [(r["sid"], r["source"], r["size"], r["target"], lam[i] if math.isfinite(lam[i]) else None, r["size"] / max(r["rows"], 1) or 1.0) for i, r in enumerate(rows)],
         "sid int, _source string, source_size long, target double, lam double, mean double",
     )
-    rate = F.least(F.lit(cap), F.exp(F.least(F.coalesce(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0)), F.lit(50.0))))
+    rate = F.least(_top(cap), F.exp(F.least(F.coalesce(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0)), F.lit(50.0))))
+    if cap != whole:  # one copy more stands for a cut one, up to the cap
+        rate = F.when(rate > whole, whole + (rate - whole) / (_top(cap) - whole)).otherwise(rate)
     rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(rate)
     order = F.xxhash64(F.col(id_col), F.lit(7))
     rated = slim.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -120,18 +130,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     upto = F.col("base") + F.col("run") + F.lit(_UNIT // 2)
     copies = F.floor(upto / _UNIT) - F.floor((upto - F.col("rate")) / _UNIT)
     rounded = rated.withColumns({"run": F.sum("rate").over(run), "nth": F.count(F.lit(1)).over(run)}).join(before, ["sid", "band", "cell"])
-    rounded = rounded.withColumn("copies", F.when(F.col("size") == 0, F.lit(1)).otherwise(F.least(F.lit(math.floor(cap)), copies)).cast("int"))
-    out = stored(rounded.select(id_col, "source", "size", "source_size", "target", "copies", "sid", "band", "cell", "nth", "order"), "rounded")
+    cut = F.when((F.col("size") > 0) & (copies > whole), F.floor(F.lit(cap) * F.col("size")) - whole * F.col("size")).otherwise(0).cast("long")
+    rounded = rounded.withColumns({"copies": F.when(F.col("size") == 0, F.lit(1)).otherwise(F.least(F.lit(whole), copies)).cast("int"), "cut": cut})
+    out = stored(rounded.select(id_col, "source", "size", "source_size", "target", "copies", "cut", "sid", "band", "cell", "nth", "order"), "rounded")
     if not trim:
         return out.withColumns({"part": F.lit(0).cast("long"), "taken": F.col("copies") * F.col("size")}).select(id_col, "source", "size", "source_size", "target", "copies", "part", "taken")
     # what a source still lacks, or has too much, goes to the documents with most room
-    got = out.groupBy("sid").agg(F.sum(F.col("copies") * F.col("size")).alias("got"), F.first("target").alias("_target"))
+    got = out.groupBy("sid").agg(F.sum(F.col("copies") * F.col("size") + F.col("cut")).alias("got"), F.first("target").alias("_target"))
     miss = got.select("sid", (F.round("_target").cast("long") - F.col("got")).alias("miss"))
-    room = F.when(F.col("miss") > 0, F.floor(F.lit(cap) * F.col("size")).cast("long") - F.col("copies") * F.col("size")).otherwise(F.col("copies") * F.col("size"))
+    room = F.when(F.col("miss") > 0, F.floor(F.lit(cap) * F.col("size")).cast("long") - F.col("copies") * F.col("size") - F.col("cut")).otherwise(F.col("copies") * F.col("size") + F.col("cut"))
     first = Window.partitionBy("sid").orderBy(F.desc("room"), "order", "band", "cell", "nth")
     top = out.join(miss, "sid").withColumn("room", room).where("room > 0").withColumn("pick", F.row_number().over(first)).where(F.col("pick") <= _TRIMMED)
     sofar = F.sum("room").over(first) - F.col("room")
     part = F.greatest(F.lit(0), F.least(F.col("room"), F.abs(F.col("miss")) - sofar)) * F.signum("miss").cast("long")
     parts = top.select("sid", "band", "cell", "nth", part.alias("part")).where("part <> 0")
-    out = out.join(parts, ["sid", "band", "cell", "nth"], "left").withColumn("part", F.coalesce("part", F.lit(0)).cast("long"))
+    out = out.join(parts, ["sid", "band", "cell", "nth"], "left").withColumn("part", (F.coalesce("part", F.lit(0)) + F.col("cut")).cast("long"))
     return out.withColumn("taken", F.col("copies") * F.col("size") + F.col("part")).select(id_col, "source", "size", "source_size", "target", "copies", "part", "taken")
