@@ -71,3 +71,85 @@ def test_files_and_snapshots(spark, root):
     second = s.create()
     assert set(s.list()) == {first, second} and s.delete(second) and s.list() == [first]
     assert not s.restore("none")
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine", "angular"])
+def test_metric_stays(spark, root, metric):
+    """The same answers before and after ``optimize`` with all cells probed, after an insert, a change and a delete."""
+    import numpy as np
+
+    x = np.random.default_rng(4).standard_normal((60, 5)).astype(np.float32) * (1 + np.arange(60)[:, None] % 4)
+    frame = lambda a, first=0: spark.createDataFrame([([float(v) for v in r], {"n": str(first + i)}) for i, r in enumerate(a)], "vector array<float>, metadata map<string,string>")
+    c = Collections(spark, root)
+    c.create("m", 5, metric)
+    c.insert("m", frame(x))
+    asked = spark.createDataFrame([(i, [float(v) for v in x[i] * 0.5]) for i in range(6)], "query_id long, q array<float>")
+    answers = lambda: [(r.query_id, r["rank"], r.metadata["n"], round(r.score, 4)) for r in c.search("m", asked, 5).orderBy("query_id", "rank").collect()]
+    before = answers()
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    q = x[:6] * 0.5
+    score = {"l2": -((x[None] - q[:, None]) ** 2).sum(axis=2), "ip": q @ x.T, "cosine": unit(q) @ unit(x).T, "angular": unit(q) @ unit(x).T}[metric]
+    assert [n for _, _, n, _ in before] == [str(i) for r in score for i in np.argsort(-r, kind="stable")[:5]]
+    assert c.optimize("m", 7, nprobe=7) == 7
+    assert answers() == before
+    one = c.search("m", asked, 1).where("query_id = 0").first()
+    c.insert("m", frame(x[:1] * 1000, 100))
+    assert metric != "ip" or [n for q, k, n, _ in answers() if k == 1].count("100") > 0
+    gone = c.rows("m").where("metadata['n'] = '100'").first().vec_id
+    assert c.delete("m", [gone]) and answers() == before
+    assert c.modify("m", spark.createDataFrame([(one.vec_id, None, {"k": "v"})], "vec_id string, vector array<float>, metadata map<string,string>"), merge=True)
+    assert answers() == before
+    c.rebuild("m")
+    assert answers() == before
+
+
+def test_versions(spark, root):
+    c = Collections(spark, root)
+    c.create("v", 4)
+    c.insert("v", vectors(spark, 5))
+    seen = c.rows("v")
+    one = seen.first().vec_id
+    twice = spark.createDataFrame([(one, [1.0] * 4, None)] * 2, "vec_id string, vector array<float>, metadata map<string,string>")
+    with pytest.raises(ValueError, match="several"):
+        c.modify("v", twice)
+    assert c.delete("v", [one])
+    assert seen.count() == 5 and c.count("v") == 4  # a reader of the version before still finds its parts
+    c.store.write("v/manifest-000000000099.json.half", "{")  # what a writer left that died
+    assert c.count("v") == 4
+    assert c.insert("v", vectors(spark, 1)).count() == 1
+    c.drop("v")
+    assert not c.exists("v") and c.names() == []
+
+
+def test_lock(spark, root, monkeypatch):
+    from vecsmith.operators import collection
+
+    c = Collections(spark, root)
+    c.create("w", 4)
+    assert c.store.claim("_locks/w") and not c.store.claim("_locks/w")  # another process writes
+    monkeypatch.setattr(collection, "PATIENCE", 0.3)
+    with pytest.raises(TimeoutError):
+        c.insert("w", vectors(spark, 1))
+    monkeypatch.setattr(collection, "STALE", -1.0)  # it died
+    assert c.insert("w", vectors(spark, 1)).count() == 1
+
+
+@pytest.mark.parametrize("kind,options", [("hnsw", {"rows": 40}), ("annoy", {"depth": 2})])
+def test_built(spark, root, kind, options):
+    c = Collections(spark, root)
+    c.create("g", 4)
+    c.insert("g", vectors(spark, 60))
+    asked = spark.createDataFrame([(1, [3.0, 6.0, 9.0, 12.0])], "query_id long, q array<float>")
+    names = lambda: [r.metadata["n"] for r in c.search("g", asked, 3).orderBy("rank").collect()]
+    c.build("g", kind, **options)
+    assert names() == ["3", "2", "4"]
+    c.insert("g", vectors(spark, 4))  # beside the index
+    assert names() == ["3", "3", "2"]
+    first = c.search("g", asked, 1).first().vec_id
+    assert c.delete("g", [first]) and names() == ["3", "2", "4"]  # ties by place
+    assert Collections(spark, root).search("g", asked, 1, {"n": "9"}, mode="pre").first().metadata == {"n": "9"}
+    with pytest.raises(ValueError):
+        c.build("g", "other")
+    c.create("h", 4, "ip")
+    with pytest.raises(ValueError):
+        c.build("h", kind)

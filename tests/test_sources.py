@@ -88,3 +88,64 @@ def test_streams(spark, tmp_path):
     got = []
     stream_search(spark.readStream.schema(base.schema).parquet(f"{tmp_path}/q"), base, lambda df, n: got.extend(df.collect()), f"{tmp_path}/cp2", k=2).awaitTermination()
     assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [3, 2]
+
+
+def test_jdbc_table(spark, tmp_path):
+    """A table of an embedded database, file contents among its columns."""
+    from vecsmith.sources.stores import JdbcTable
+
+    try:
+        spark._jvm.java.lang.Class.forName("org.apache.derby.jdbc.EmbeddedDriver")
+    except Exception:
+        pytest.skip("no embedded database here")
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    t = JdbcTable(spark, url, "FILES", "ID", driver="org.apache.derby.jdbc.EmbeddedDriver", createTableColumnTypes="ID VARCHAR(64), KIND VARCHAR(16)")
+    t.put(spark.createDataFrame([("a", "txt", bytearray(b"one"), 3), ("b", None, bytearray(b"two"), 4)], "ID string, KIND string, CONTENT binary, SIZE long"))
+    assert t.rows().count() == 2 and bytes(t.get("a").first().CONTENT) == b"one"
+    assert t.update("a", KIND="md", SIZE=9) and not t.update("x", KIND="md") and not t.update("a")
+    assert t.search({"KIND": "md"}).first().SIZE == 9 and t.search({"KIND": None}).first().ID == "b"
+    with pytest.raises(ValueError):
+        t.update("a", **{"KIND = 1 --": "x"})
+    assert t.delete("a") and not t.delete("a") and t.rows().count() == 1
+
+
+def test_images_and_videos(spark, folder):
+    df = spark.createDataFrame([("a", bytearray([1, 2, 3, 4, 5, 6]), "RGB"), ("b", bytearray([9, 200]), "L"), ("c", bytearray([1, 2, 3, 255]), "RGBA"), ("d", None, None)], "path string, pixels binary, mode string")
+    got = {r.path: r for r in S.as_rgb(df).withColumn("v", embedded(F.col("pixels"), "colour-image")).collect()}
+    assert [list(got[k].pixels) for k in "abc"] == [[3, 2, 1, 6, 5, 4], [9, 9, 9, 200, 200, 200], [3, 2, 1]] and got["d"].pixels is None
+    assert len(got["a"].v) == 512 and got["a"].v[0] == 1.0 and np.isclose(got["b"].v[0], 2**-0.5) and set(got["d"].v) == {0.0}
+    (folder / "in/v.mp4").write_bytes(bytes(range(120)))
+    S.register_frame_decoder(lambda c: ([c[i : i + 10] for i in range(0, len(c), 10)], 20.0, 10, 1))
+    (row,) = S.video_vectors(S.files(spark, f"{folder}/in")).collect()
+    from vecsmith.functions.embed import hashed_bytes
+
+    import pandas as pd
+
+    want = np.mean([np.float32(v) for v in hashed_bytes(pd.Series([bytes(range(i, i + 10)) for i in range(0, 100, 10)]))], axis=0)
+    assert np.allclose(row.mean_vector, want, atol=1e-6)
+
+
+def test_cepstra():
+    """A tone's energy lies in the band around it; loudness moves the first coefficient alone."""
+    import pandas as pd
+
+    from vecsmith.functions.embed import mel_cepstra, mel_filters
+
+    filters = mel_filters(22_050, 2048, 128)
+    assert filters.shape == (128, 1025) and (filters.sum(axis=1) > 0).sum() >= 110
+    tone = np.sin(2 * np.pi * 1000 * np.arange(22_050) / 22_050)
+    quiet, loud, none = mel_cepstra(pd.Series([tone, tone * 10, np.array([])]))
+    assert np.allclose(quiet[1:], loud[1:], atol=1e-2) and np.isclose(loud[0] - quiet[0], 20 * np.sqrt(128), rtol=1e-3) and not none.any()
+    basis = np.cos(np.pi * np.arange(128)[:, None] * (2 * np.arange(128)[None, :] + 1) / 256) * np.sqrt(2 / 128)
+    basis[0] /= np.sqrt(2)
+    bands = basis.T @ quiet
+    centres = filters.argmax(axis=1) * 22_050 / 2048
+    assert abs(centres[bands.argmax()] - 1000) < 60
+
+
+def test_dumps_in_parts(spark, tmp_path):
+    x = np.random.default_rng(0).random((50, 3)).astype("<f4")
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "seq long, vector array<float>").repartition(3)
+    V.write_dump(df, f"{tmp_path}/out", rows=7)
+    rows = spark.read.parquet(f"{tmp_path}/out").orderBy("part").collect()
+    assert max(r.n for r in rows) == 7 and np.allclose(np.concatenate([V._dump(bytes(r.dump)) for r in rows]), x)

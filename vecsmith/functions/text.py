@@ -16,17 +16,21 @@ MODALITIES = {
 }
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+def cleaned(text: Column) -> Column:
+    """Words joined by single spaces."""
+    return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
-def word_count(text: Column) -> Column:
-    return F.size(words(F.coalesce(text, F.lit(""))))
+def words(text: Column) -> Column:
+    """The words in order; none for an empty text."""
+    text = cleaned(text)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
 
 
-def cleaned(text: Column) -> Column:
-    """Words joined by single spaces."""
-    return F.array_join(words(text), " ")
+def word_count(text: Column) -> Column:
+    """Words between runs of white space; 0 for null."""
+    text = cleaned(F.coalesce(text, F.lit("")))
+    return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1)
 
 
 def stripped(text: Column) -> Column:
@@ -37,9 +41,9 @@ def chunks(text: Column, size: int = 100) -> Column:
     """Windows of ``size`` words without overlap, joined by spaces; an empty text is one empty chunk."""
     if size < 1:
         raise ValueError("chunks need at least one word")
-    starts = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(size))
-    # the words are bound once; an expression inside the inner lambda would be worked out for each chunk
-    return F.transform(F.array(words(F.coalesce(text, F.lit("")))), lambda w: F.transform(starts(w), lambda i: F.array_join(F.slice(w, i + 1, size), " ")))[0]
+    # runs of up to ``size`` words of the cleaned text, found by one pass over it
+    found = F.regexp_extract_all(cleaned(F.coalesce(text, F.lit(""))), F.lit(f"(?:[^ ]++ ){{0,{size - 1}}}+[^ ]++"), F.lit(0))
+    return F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found)
 
 
 def chunk_id(file_id: Column, index: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,14 +50,24 @@ def pivot_filled(df: DataFrame, row: str, column: str, value: str, columns: list
 
 
 def reduced(df: DataFrame, columns: list[str], k: int, out: str = "reduced") -> DataFrame:
-    """Rows projected onto the top ``k`` singular directions (uncentred)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    packed = VectorAssembler(inputCols=columns, outputCol="_v").transform(df)
-    rows = packed.select(vector_to_array("_v").alias("v")).rdd.map(lambda r: Vectors.dense(r["v"]))
-    v = RowMatrix(rows).computeSVD(k).V.toArray()
-    dots = F.array(*[F.aggregate(F.zip_with(vector_to_array("_v"), F.array(*[F.lit(float(x)) for x in v[:, j]]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for j in range(v.shape[1])])
-    return packed.withColumn(out, dots).drop("_v")
+    """Rows projected onto the top ``k`` singular directions (uncentred); nulls count as 0.
+
+    Tasks add up products of columns, so columns squared numbers a task move, and the driver
+    solves a problem of that size.
+    """
+
+    def products(batches):
+        total = np.zeros((len(columns), len(columns)))
+        for b in batches:
+            x = b.to_numpy(dtype=float, na_value=0.0)
+            total += x.T @ x
+        i, j = np.indices(total.shape)
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
+
+    gram = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).mapInPandas(products, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+    total = np.zeros((len(columns), len(columns)))
+    total[gram["i"], gram["j"]] = gram["v"]
+    _, directions = np.linalg.eigh(total)
+    top = directions[:, ::-1][:, :k]
+    dots = [sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * F.lit(float(x)) for c, x in zip(columns, top[:, j], strict=True)), F.lit(0.0)) for j in range(top.shape[1])]
+    return df.withColumn(out, F.array(*dots))

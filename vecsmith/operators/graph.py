@@ -1,20 +1,21 @@
 """A layered proximity graph for each partition; searches fan out to all and merge.
 
-A partition's rows are cut into graphs of at most ``rows`` nodes, so a task's
-memory is bounded. Each graph is deterministic: rows in id order, levels by a seed.
+Rows are dealt into graphs of about ``rows`` nodes, so a task's
+memory is bounded. Each graph is deterministic: rows in id order, levels by a seed. Built graphs are
+stored as plain arrays, one row for each graph, and searched without being built again.
 """
 
 from __future__ import annotations
 
 import heapq
-import pickle
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsmith.operators.search import matrix, query_blocks, top_k
+from vecsmith.operators.scratch import stored
+from vecsmith.operators.search import HITS, in_blocks, matrix, ranked
 
 
 class Graph:
@@ -29,6 +30,22 @@ class Graph:
         for node in np.argsort(-self.level, kind="stable"):
             self._insert(int(node), build)
 
+    def packed(self) -> dict:
+        """Plain arrays: ids, vectors, levels, the entry, and for each link its level, its node and the other one."""
+        links = [(lv, node, other) for lv, by in enumerate(self.links) for node, others in by.items() for other in others]
+        at = np.array(links, np.int32).reshape(-1, 3)
+        return {"n": len(self.ids), "ids": self.ids.astype(np.int64), "x": self.x.ravel(), "levels": self.level.astype(np.int32), "entry": self.entry, "at": at[:, 0], "node": at[:, 1], "other": at[:, 2]}
+
+    @classmethod
+    def unpacked(cls, row) -> Graph:
+        g = cls.__new__(cls)
+        g.ids, g.level, g.entry = np.asarray(row["ids"]), np.asarray(row["levels"]), int(row["entry"])
+        g.x = np.asarray(row["x"], np.float32).reshape(len(g.ids), -1)
+        g.links = [{} for _ in range(int(g.level.max(initial=0)) + 1)]
+        for lv, node, other in zip(np.asarray(row["at"]).tolist(), np.asarray(row["node"]).tolist(), np.asarray(row["other"]).tolist(), strict=True):
+            g.links[lv].setdefault(node, []).append(other)
+        return g
+
     def _apart(self, q: np.ndarray, nodes) -> np.ndarray:
         return ((self.x[nodes] - q) ** 2).sum(axis=1)
 
@@ -95,45 +112,60 @@ class Graph:
         return self.beam(q, starts, max(width, k), 0)[:k]
 
 
+_PACKED = "graph int, n long, ids array<long>, x array<float>, levels array<int>, entry int, at array<int>, node array<int>, other array<int>"
+
+
 class ProximityGraphs:
-    """``fit`` makes one row for each graph (a pickled blob); ``search`` asks all of them."""
+    """``fit`` builds and stores a row for each graph; ``search`` asks all of them; ``save`` and ``load`` keep them in a folder."""
 
     def __init__(self, m: int = 16, build: int = 200, width: int = 64, seed: int = 42, rows: int = 20_000):
         self.m, self.build, self.width, self.seed, self.rows = m, build, width, seed, rows
+        self.graphs: DataFrame | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"graphs": None}
 
     def set_width(self, width: int) -> None:
         if width < 1:
             raise ValueError("the search width must be at least 1")
         self.width = width
 
-    def fit(self, base: DataFrame, id_col: str = "vec_id", vector: str = "embedding", graphs: int | None = None) -> DataFrame:
-        """(graph, n, blob). Rows are dealt by a hash of the id into ``graphs`` groups (by default as many as ``rows`` asks for)."""
+    def built(self, base: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+        """A row of plain arrays for each graph, not stored yet. Rows are dealt by a hash of the id into as many graphs as ``rows`` asks for."""
         slim = base.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
-        count = graphs or max(1, -(-slim.count() // self.rows))
+        count, m, build, seed = max(1, -(-slim.count() // self.rows)), self.m, self.build, self.seed
 
-        def built(key, group: pd.DataFrame) -> pd.DataFrame:
+        def packed(key, group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values("vec_id")
-            g = Graph(group["vec_id"].to_numpy(), matrix(group["vector"]), self.m, self.build, self.seed)
-            return pd.DataFrame({"graph": [key[0]], "n": [len(group)], "blob": [pickle.dumps(g)]})
+            g = Graph(group["vec_id"].to_numpy(), matrix(group["vector"]), m, build, seed).packed()
+            return pd.DataFrame({"graph": [key[0]], **{c: [v] for c, v in g.items()}})
 
         dealt = slim.withColumn("graph", F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int"))
-        return dealt.groupBy("graph").applyInPandas(built, "graph int, n long, blob binary")
+        return dealt.groupBy("graph").applyInPandas(packed, _PACKED)
+
+    def fit(self, base: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> ProximityGraphs:
+        self.graphs = stored(self.built(base, id_col, vector), "graphs")
+        return self
+
+    def save(self, spark, folder: str) -> None:
+        self.graphs.write.parquet(folder)
+
+    def load(self, spark, folder: str) -> ProximityGraphs:
+        self.graphs = spark.read.schema(_PACKED).parquet(folder)
+        return self
 
-    def search(self, graphs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
         """(query_id, rank, vec_id, score)."""
-        asked = queries.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.col(vector).alias("q"))
-        found, width = None, self.width
-        for ids, block in query_blocks(asked):
-
-            def answers(batches, ids=ids, block=block):
-                for b in batches:
-                    for blob in b["blob"]:
-                        g = pickle.loads(blob)
-                        rows = [(qid, int(g.ids[n]), d) for qid, q in zip(ids, block.astype(np.float32), strict=True) for d, n in g.search(q, k, width)]
-                        yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
-
-            part = graphs.select("blob").mapInPandas(answers, "query_id long, vec_id long, score double")
-            found = part if found is None else found.unionByName(part)
-        if found is None:
-            found = graphs.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
-        return top_k(found, k, True).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        if self.graphs is None:
+            raise RuntimeError("the index is not built")
+        asked, width = queries.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.col(vector).alias("q")), self.width
+
+        def answers(batches, asked):
+            block = asked.value
+            for b in batches:
+                for row in b.to_dict("records"):
+                    g = Graph.unpacked(row)
+                    found = [(i, int(g.ids[n]), d) for i, q in enumerate(block.vectors.astype(np.float32)) for d, n in g.search(q, k, width)]
+                    yield block.named(pd.DataFrame(found, columns=["q", "vec_id", "score"]))
+
+        return in_blocks(self.graphs, asked, answers, HITS, ranked(k))

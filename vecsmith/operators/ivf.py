@@ -6,8 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from vecsmith.functions.distance import l2_squared
+from vecsmith.functions.distance import metric as metric_of
 from vecsmith.operators.kmeans import kmeans, nearest_cell
 from vecsmith.operators.search import matrix, scores, top_k
 
@@ -15,14 +16,16 @@ from vecsmith.operators.search import matrix, scores, top_k
 class InvertedCells:
     """``fit`` (or given centroids), ``assign`` once, ``search`` often.
 
-    Tables written by ``list_id`` let the cell join prune partitions.
+    Cells are nearest centroids by squared L2. ``metric`` ranks the cells that a query probes and the rows in
+    them. Tables written by ``list_id`` let the cell join prune partitions.
     """
 
-    def __init__(self, nlist: int = 100, nprobe: int = 10, iterations: int = 25, seed: int = 42, centroids: np.ndarray | None = None, sample: int = 262_144):
+    def __init__(self, nlist: int = 100, nprobe: int = 10, iterations: int = 25, seed: int = 42, centroids: np.ndarray | None = None, sample: int = 262_144, metric: str = "l2"):
         if nlist < 1:
             raise ValueError("nlist must be at least 1")
         self.nlist, self.iterations, self.seed, self.sample = nlist, iterations, seed, sample
-        self.centroids = centroids
+        self.centroids, self.metric = centroids, metric
+        metric_of(metric)
         self.set_nprobe(nprobe)
 
     def set_nprobe(self, nprobe: int) -> None:
@@ -30,8 +33,8 @@ class InvertedCells:
             raise ValueError("nprobe must be at least 1")
         self.nprobe = nprobe
 
-    def fit(self, base: DataFrame, vector: str = "embedding") -> InvertedCells:
-        self.centroids = kmeans(base, self.nlist, self.iterations, self.seed, vector=vector, sample=self.sample)
+    def fit(self, base: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> InvertedCells:
+        self.centroids = kmeans(base, self.nlist, self.iterations, self.seed, id_col=id_col, vector=vector, sample=self.sample)
         return self
 
     def _trained(self) -> np.ndarray:
@@ -41,31 +44,40 @@ class InvertedCells:
 
     def assign(self, base: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
         """(vec_id, vector, list_id) of each row that has a vector."""
+        rows = base.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"))
+        return self.placed(rows, "vector")
+
+    def placed(self, rows: DataFrame, vector: str) -> DataFrame:
+        """``rows`` with ``list_id``; 0 where there is no vector."""
         centroids = self._trained()
 
-        def cells(batches):
-            for b in batches:
-                if len(b):
-                    yield b.assign(list_id=nearest_cell(matrix(b["vector"]), centroids).astype(np.int32))
+        @pandas_udf("int")
+        def cell(vectors: pd.Series) -> pd.Series:
+            out, some = np.zeros(len(vectors), np.int32), vectors.notna().to_numpy()
+            if some.any():
+                out[some] = nearest_cell(matrix(vectors[some]), centroids)
+            return pd.Series(out)
 
-        rows = base.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"))
-        return rows.mapInPandas(cells, "vec_id long, vector array<float>, list_id int")
+        return rows.withColumn("list_id", cell(vector))
 
     def probes(self, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
         """(query_id, q, list_id) for the ``nprobe`` nearest cells of each query."""
-        centroids, n = self._trained(), min(self.nprobe, len(self._trained()))
+        centroids, n, metric = self._trained(), min(self.nprobe, len(self._trained())), self.metric
+        ascending = metric_of(metric).ascending
 
         def nearest(batches):
             for b in batches:
                 if len(b):
-                    order = np.argsort(scores(matrix(b["q"]), centroids, "l2"), axis=1, kind="stable")[:, :n]
+                    near = np.nan_to_num(scores(matrix(b["q"]), centroids, metric), nan=-np.inf)
+                    order = np.argsort(near if ascending else -near, axis=1, kind="stable")[:, :n]
                     yield pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), n), "q": b["q"].repeat(n).to_numpy(), "list_id": order.ravel().astype(np.int32)})
 
         asked = queries.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.col(vector).cast("array<float>").alias("q"))
         return asked.mapInPandas(nearest, "query_id long, q array<float>, list_id int")
 
     def search(self, assigned: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-        """(query_id, rank, vec_id, score): exact squared L2 within the probed cells."""
+        """(query_id, rank, vec_id, score): exact scores within the probed cells; tasks keep k rows a query."""
+        kind = metric_of(self.metric)
         pairs = self.probes(queries, id_col, vector).join(assigned, "list_id")
-        scored = pairs.select("query_id", "vec_id", l2_squared("vector", "q").alias("score"))
-        return top_k(scored, k, True).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        scored = pairs.select("query_id", "vec_id", kind.expression("vector", "q").alias("score")).where("score is not null and not isnan(score)")
+        return top_k(scored, k, kind.ascending).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -54,14 +54,14 @@ def split_empty(centroids: np.ndarray, n: np.ndarray, shift: float = 1.0 / 1024)
     return centroids, n
 
 
-def kmeans(rows: DataFrame, k: int, iterations: int = 25, seed: int = 42, tolerance: float = 0.0, vector: str = "embedding", sample: int | None = None) -> np.ndarray:
-    """Centroids (k x dimension). ``sample`` bounds the rows trained on (by a hash of the vector); None trains on all."""
+def kmeans(rows: DataFrame, k: int, iterations: int = 25, seed: int = 42, tolerance: float = 0.0, id_col: str = "vec_id", vector: str = "embedding", sample: int | None = None) -> np.ndarray:
+    """Centroids (k x dimension). ``sample`` bounds the rows trained on (by a hash of the id); None trains on all."""
     if k < 1:
         raise ValueError("k must be at least 1")
     if sample is not None:
         count = rows.count()
         if count > sample:
-            rows = rows.where(F.pmod(F.xxhash64(vector), F.lit(1 << 20)) < F.lit(int((1 << 20) * sample / count)))
+            rows = rows.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < F.lit(int((1 << 20) * sample / count)))
     centroids = first_centroids(rows, k, vector, seed)
     rows = rows.select(vector).cache()
     try:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecsmith.operators.search import matrix, nearer, query_blocks, top_k
+from vecsmith.operators.search import HITS, in_blocks, matrix, nearer, ranked
 
 BANDS, BAND_BITS = 4, 8
 
@@ -53,37 +53,33 @@ class HashTables:
         Queries with fewer than k candidates also get those at one flipped bit of the first band.
         Queries go in blocks to all tasks, which send k rows a query of the candidates, and of these others.
         """
-        found = None
-        for ids, block in query_blocks(asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q")), 512):
-            theirs = self.codes_of(block).astype("<i4").view(np.uint8)
-
-            def ranked(batches, ids=ids, block=block, theirs=theirs):
-                best = {False: None, True: None}
-                for b in batches:
-                    for at in range(0, len(b), 2048):
-                        some = b.iloc[at : at + 2048]
-                        mine = np.stack(some["codes"].to_list()).astype("<i4").view(np.uint8)
-                        may, first = np.zeros((len(ids), len(some)), bool), np.zeros((len(ids), len(some)), bool)
-                        for i in range(mine.shape[1]):
-                            apart = np.bitwise_count(theirs[:, i, None] ^ mine[None, :, i])
-                            may |= apart <= probes
-                            if i % BANDS == 0:
-                                first |= apart <= 1
-                        for more, ok in ((False, may), (True, first & ~may)):
-                            if (hit := ok.any(axis=0)).any():
-                                best[more] = nearer(best[more], matrix(some["vector"][hit]), some["vec_id"].to_numpy()[hit], block, ids, ok[:, hit], k)
-                for more, got in best.items():
-                    if got is not None:
-                        yield got.assign(more=more)
-
-            part = coded.mapInPandas(ranked, "query_id long, vec_id long, score double, more boolean")
-            found = part if found is None else found.unionByName(part)
-        if found is None:
-            found = coded.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, more boolean")
-        # a task that has fewer than k candidates sends them all, so these sums are below k exactly where all candidates are
-        count = F.count(F.when(~F.col("more"), 1)).over(Window.partitionBy("query_id"))
-        scored = found.withColumn("_n", count).where(~F.col("more") | (F.col("_n") < k)).drop("_n", "more")
-        return top_k(scored, k, True).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+        def candidates(batches, asked):
+            block = asked.value
+            theirs, best = self.codes_of(block.vectors).astype("<i4").view(np.uint8), {False: None, True: None}
+            for b in batches:
+                for at in range(0, len(b), 2048):
+                    some = b.iloc[at : at + 2048]
+                    mine = np.stack(some["codes"].to_list()).astype("<i4").view(np.uint8)
+                    may, first = np.zeros((len(theirs), len(some)), bool), np.zeros((len(theirs), len(some)), bool)
+                    for i in range(mine.shape[1]):
+                        apart = np.bitwise_count(theirs[:, i, None] ^ mine[None, :, i])
+                        may |= apart <= probes
+                        if i % BANDS == 0:
+                            first |= apart <= 1
+                    for more, ok in ((False, may), (True, first & ~may)):
+                        if (hit := ok.any(axis=0)).any():
+                            best[more] = nearer(best[more], matrix(some["vector"][hit]), some["vec_id"].to_numpy()[hit], block.vectors, ok[:, hit], k)
+            for more, got in best.items():
+                if got is not None:
+                    yield block.named(got).assign(more=more)
+
+        def enough(found: DataFrame) -> DataFrame:
+            # a task that has fewer than k candidates sends them all, so these sums are below k exactly where all candidates are
+            count = F.count(F.when(~F.col("more"), 1)).over(Window.partitionBy("n", "query_id"))
+            return ranked(k)(found.withColumn("_n", count).where(~F.col("more") | (F.col("_n") < k)).drop("_n", "more"))
+
+        return in_blocks(coded, asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q")), candidates, f"{HITS}, more boolean", enough, 512)
 
 
 def hamming_counts(coded: DataFrame, asked: DataFrame, code_block: int = 4096) -> DataFrame:
@@ -92,21 +88,18 @@ def hamming_counts(coded: DataFrame, asked: DataFrame, code_block: int = 4096) -
     Queries go in blocks to all tasks, which send 33 counts a query.
     """
     codes = coded.where("code is not null").select("code")
-    queries, out = asked.where("code is not null").select(F.col("vec_id").alias("query_id"), F.array(F.col("code").cast("double")).alias("q")), None
-    for ids, block in query_blocks(queries, code_block):
-        own = block[:, 0].astype(np.int64).astype(np.uint32)
-
-        def counted(batches, ids=ids, own=own):
-            n = np.zeros((len(own), 33), np.int64)
-            for b in batches:
-                values, times = np.unique(b["code"].to_numpy().astype(np.uint32), return_counts=True)
-                for i, c in enumerate(own):
-                    n[i] += np.bincount(np.bitwise_count(values ^ c), weights=times, minlength=33).astype(np.int64)
-            q, d = np.nonzero(n)
-            yield pd.DataFrame({"query_id": ids[q], "apart": d.astype(np.int32), "n": n[q, d]})
-
-        part = codes.mapInPandas(counted, "query_id long, apart int, n long")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return coded.sparkSession.createDataFrame([], "query_id long, apart int, n long")
-    return out.groupBy("query_id", "apart").agg(F.sum("n").alias("n"))
+    queries = asked.where("code is not null").select(F.col("vec_id").alias("query_id"), F.array(F.col("code").cast("double")).alias("q"))
+
+    def counted(batches, asked):
+        block = asked.value
+        own = block.vectors[:, 0].astype(np.int64).astype(np.uint32)
+        n = np.zeros((len(own), 33), np.int64)
+        for b in batches:
+            values, times = np.unique(b["code"].to_numpy().astype(np.uint32), return_counts=True)
+            for i, c in enumerate(own):
+                n[i] += np.bincount(np.bitwise_count(values ^ c), weights=times, minlength=33).astype(np.int64)
+        q, d = np.nonzero(n)
+        yield pd.DataFrame({"query_id": block.ids[q], "apart": d.astype(np.int32), "rows": n[q, d]})
+
+    summed = lambda out: out.groupBy("query_id", "apart").agg(F.sum("rows").alias("n"))
+    return in_blocks(codes, queries, counted, "query_id long, apart int, rows long", summed, code_block)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecsmith.operators.kmeans import kmeans_local, nearest_cell
-from vecsmith.operators.search import matrix, nearer, query_blocks, top_k
+from vecsmith.operators.search import HITS, in_blocks, matrix, nearer, ranked
 
 
 class ProductQuantizer:
@@ -73,40 +73,35 @@ class ProductQuantizer:
         if rerank:
             vectors = base.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("v"))
             codes = codes.join(vectors, "vec_id")
-        found = None
-        for ids, block in query_blocks(asked, 512):
-            cut, off = self._cut(block), np.zeros(len(block))
+
+        def looked_up(batches, asked):
+            block = asked.value
+            cut, off = self._cut(block.vectors), np.zeros(len(block.ids))
             if symmetric:
-                own = np.stack([books[m][self.codes_of(block)[:, m]] for m in range(self.parts)], axis=1)
+                own = np.stack([books[m][self.codes_of(block.vectors)[:, m]] for m in range(self.parts)], axis=1)
                 cut, off = own, np.sqrt(((cut - own) ** 2).sum(axis=(1, 2)))
             tables = np.stack([((cut[:, m, None, :] - books[m][None, :, :]) ** 2).sum(axis=2) for m in range(self.parts)])
-
-            def looked_up(batches, ids=ids, tables=tables, block=block, off=off):
-                best, bound = None, np.full(len(ids), np.inf)
-                for b in batches:
-                    for at in range(0, len(b), 2048):
-                        some = b.iloc[at : at + 2048]
-                        c, vec = np.stack(some["codes"].to_list()), some["vec_id"].to_numpy()
-                        total = sum(tables[m][:, c[:, m]] for m in range(len(tables)))
-                        if rerank:
-                            least = np.sqrt(total) - off[:, None] - some["error"].to_numpy()
-                            may = least <= (np.sqrt(bound) * (1 + 1e-9) + 1e-9)[:, None]
-                            if (hit := may.any(axis=0)).any():
-                                best = nearer(best, matrix(some["v"][hit]), vec[hit], block, ids, may[:, hit], k)
-                                last = best[best.groupby("query_id").cumcount() == k - 1]
-                                bound[np.searchsorted(ids, last["query_id"])] = last["score"]
-                            continue
-                        n = min(k, len(vec))
-                        edge = np.partition(total, n - 1, axis=1)[:, n - 1]
-                        q, r = np.nonzero(total <= edge[:, None])
-                        part = pd.DataFrame({"query_id": ids[q], "vec_id": vec[r], "score": total[q, r]})
-                        best = (part if best is None else pd.concat([best, part])).sort_values(["query_id", "score", "vec_id"])
-                        best = best[best.groupby("query_id").cumcount() < k]
-                if best is not None:
-                    yield best
-
-            part = codes.mapInPandas(looked_up, "query_id long, vec_id long, score double")
-            found = part if found is None else found.unionByName(part)
-        if found is None:
-            found = codes.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
-        return top_k(found, k, True).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            best, bound = None, np.full(len(block.ids), np.inf)
+            for b in batches:
+                for at in range(0, len(b), 2048):
+                    some = b.iloc[at : at + 2048]
+                    c, vec = np.stack(some["codes"].to_list()), some["vec_id"].to_numpy()
+                    total = sum(tables[m][:, c[:, m]] for m in range(len(tables)))
+                    if rerank:
+                        least = np.sqrt(total) - off[:, None] - some["error"].to_numpy()
+                        may = least <= (np.sqrt(bound) * (1 + 1e-9) + 1e-9)[:, None]
+                        if (hit := may.any(axis=0)).any():
+                            best = nearer(best, matrix(some["v"][hit]), vec[hit], block.vectors, may[:, hit], k)
+                            last = best[best.groupby("q").cumcount() == k - 1]
+                            bound[last["q"]] = last["score"]
+                        continue
+                    n = min(k, len(vec))
+                    edge = np.partition(total, n - 1, axis=1)[:, n - 1]
+                    q, r = np.nonzero(total <= edge[:, None])
+                    part = pd.DataFrame({"q": q, "vec_id": vec[r], "score": total[q, r]})
+                    best = (part if best is None else pd.concat([best, part])).sort_values(["q", "score", "vec_id"])
+                    best = best[best.groupby("q").cumcount() < k]
+            if best is not None:
+                yield block.named(best)
+
+        return in_blocks(codes, asked, looked_up, HITS, ranked(k), 512)

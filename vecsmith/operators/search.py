@@ -2,18 +2,23 @@
 
 Many queries: queries go in blocks of a fixed size to all tasks, each task
 multiplies its rows with the block and keeps k rows a query, and one window
-merges these. So no more than tasks x queries x k rows move. One query: an
-expression and a top-k.
+merges these. So no more than tasks x queries x k rows move. The driver holds one block at
+a time; where there are several, each one's result is written before the next one starts, so that
+neither its memory nor the plan grows with the queries. One query: an expression and a top-k.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecsmith.functions.distance import metric as metric_of
+from vecsmith.operators.scratch import dropped, stored, stored_parts
 
 QUERY_BLOCK = 4096
 _ROWS = 2048
@@ -45,62 +50,101 @@ def scores(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
     return cosine if metric == "cosine" else np.sqrt(np.maximum(0.0, 2.0 * (1.0 - cosine)))
 
 
-def _local(batches, qids, block, k, metric, ascending, skip_self):
-    best = None
+def _local(batches, asked, k, metric, ascending, skip_self):
+    best, block = None, asked.value
     for batch in batches:
         for at in range(0, len(batch), _ROWS):
             some = batch.iloc[at : at + _ROWS]
             rows, ids = matrix(some["vector"]), some["vec_id"].to_numpy()
-            if block.shape[1] != rows.shape[1]:
-                raise ValueError(f"expected dimension {rows.shape[1]}, got {block.shape[1]}")
-            got = scores(rows, block, metric)
+            if block.vectors.shape[1] != rows.shape[1]:
+                raise ValueError(f"expected dimension {rows.shape[1]}, got {block.vectors.shape[1]}")
+            got = scores(rows, block.vectors, metric)
             key = np.where(np.isnan(got), np.inf, got if ascending else -got)
             if skip_self:
-                key[ids[:, None] == qids[None, :]] = np.inf
+                key[ids[:, None] == block.ids[None, :]] = np.inf
             n = min(k, len(ids))
             # all up to the n-th and what rounding may hide, so that ties go by id below
             edge = np.partition(key, n - 1, axis=0)[n - 1]
             r, q = np.nonzero((key <= edge[None, :] + 1e-9 * np.maximum(1.0, np.abs(edge))[None, :]) & np.isfinite(key))
-            value = ((rows[r] - block[q]) ** 2).sum(axis=1) if metric == "l2" else got[r, q]  # differences: equal vectors are at 0
-            found = pd.DataFrame({"query_id": qids[q], "vec_id": ids[r], "score": value, "key": value if ascending else -value})
+            value = ((rows[r] - block.vectors[q]) ** 2).sum(axis=1) if metric == "l2" else got[r, q]  # differences: equal vectors are at 0
+            found = pd.DataFrame({"q": q, "vec_id": ids[r], "score": value, "key": value if ascending else -value})
             best = found if best is None else pd.concat([best, found])
-            best = best.sort_values(["query_id", "key", "vec_id"])
-            best = best[best.groupby("query_id").cumcount() < k]
+            best = best.sort_values(["q", "key", "vec_id"])
+            best = best[best.groupby("q").cumcount() < k]
     if best is not None:
-        yield best[["query_id", "vec_id", "score"]]
+        yield block.named(best[["q", "vec_id", "score"]])
 
 
-def nearer(best, rows: np.ndarray, ids: np.ndarray, block: np.ndarray, qids: np.ndarray, may: np.ndarray, k: int) -> pd.DataFrame:
-    """``best`` (query_id, vec_id, score; or None) and the rows that each query ``may`` (queries by rows) take, cut to k by exact squared L2."""
+def nearer(best, rows: np.ndarray, ids: np.ndarray, block: np.ndarray, may: np.ndarray, k: int) -> pd.DataFrame:
+    """``best`` (q, vec_id, score; or None) and the rows that each query ``may`` (queries by rows) take, cut to k by exact squared L2."""
     size = (block**2).sum(axis=1)
     key = np.where(may, scores(rows, block, "l2").T, np.inf)
     n = min(k, len(ids))
     edge = np.partition(key, n - 1, axis=1)[:, n - 1]
     slack = 1e-9 * np.maximum(1.0, size + (rows**2).sum(axis=1).max(initial=0.0))  # what rounding may hide
     q, r = np.nonzero((key <= (edge + slack)[:, None]) & np.isfinite(key))
-    found = pd.DataFrame({"query_id": qids[q], "vec_id": ids[r], "score": ((rows[r] - block[q]) ** 2).sum(axis=1)})
-    best = (found if best is None else pd.concat([best, found])).sort_values(["query_id", "score", "vec_id"])
-    return best[best.groupby("query_id").cumcount() < k]
+    found = pd.DataFrame({"q": q, "vec_id": ids[r], "score": ((rows[r] - block[q]) ** 2).sum(axis=1)})
+    best = (found if best is None else pd.concat([best, found])).sort_values(["q", "score", "vec_id"])
+    return best[best.groupby("q").cumcount() < k]
 
 
-def top_k(scored: DataFrame, k: int, ascending: bool, score: str = "score") -> DataFrame:
+def top_k(scored: DataFrame, k: int, ascending: bool, score: str = "score", by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The k best rows of each query with their rank from 1, ties to the smaller id."""
-    order = Window.partitionBy("query_id").orderBy(F.asc(score) if ascending else F.desc(score), "vec_id")
+    order = Window.partitionBy(*by).orderBy(F.asc(score) if ascending else F.desc(score), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def query_blocks(queries: DataFrame, query_block: int = QUERY_BLOCK):
-    """(ids, matrix) of blocks of queries (query_id, q), in order of their ids."""
-    after = None
-    while True:
-        rest = queries if after is None else queries.where(F.col("query_id") > after)
-        block = rest.orderBy("query_id").limit(query_block).toPandas()
-        if block.empty:
-            return
-        after = int(block["query_id"].iloc[-1])
-        yield block["query_id"].to_numpy(), matrix(block["q"])
-        if len(block) < query_block:
-            return
+@dataclass
+class Block:
+    """Some queries: a number for each, unique among all of them, their ids and their vectors."""
+
+    numbers: np.ndarray
+    ids: np.ndarray
+    vectors: np.ndarray
+
+    def named(self, found: pd.DataFrame) -> pd.DataFrame:
+        """``found`` with the number and id of the query at the place ``q`` in this block."""
+        at = found["q"].to_numpy(dtype=np.int64)
+        return found.drop(columns="q").assign(n=self.numbers[at], query_id=self.ids[at])
+
+
+#: What tasks send of their rows.
+HITS = "vec_id long, score double, n long, query_id long"
+
+
+def in_blocks(rows: DataFrame, asked: DataFrame, answers: Callable, schema: str, finish: Callable[[DataFrame], DataFrame], query_block: int = QUERY_BLOCK) -> DataFrame:
+    """``finish`` of what ``answers(batches of rows, broadcast Block)`` gives, over all queries (query_id, q) in blocks.
+
+    Rows that repeat a query id are queries of their own.
+    """
+    spark = rows.sparkSession
+    block_of = lambda df: Block(df["n"].to_numpy(), df["query_id"].to_numpy(), matrix(df["q"]))
+
+    def answered(block: Block) -> DataFrame:
+        these = spark.sparkContext.broadcast(block)
+        return finish(rows.mapInPandas(lambda it: answers(it, these), schema))
+
+    first = asked.orderBy("query_id").limit(query_block + 1).toPandas()
+    if first.empty:
+        return finish(spark.createDataFrame([], schema))
+    if len(first) <= query_block:
+        return answered(block_of(first.assign(n=np.arange(len(first)))))
+    numbered = stored(asked.repartitionByRange("query_id").sortWithinPartitions("query_id").withColumn("n", F.monotonically_increasing_id()), "queries")
+
+    def parts():
+        after = -1
+        while not (block := numbered.where(F.col("n") > after).orderBy("n").limit(query_block).toPandas()).empty:
+            after = int(block["n"].iloc[-1])
+            yield answered(block_of(block))
+
+    out = stored_parts(spark, parts(), finish(spark.createDataFrame([], schema)).schema)
+    dropped(spark, numbered)
+    return out
+
+
+def ranked(k: int, ascending: bool = True) -> Callable[[DataFrame], DataFrame]:
+    """(query_id, rank, vec_id, score) of ``HITS``."""
+    return lambda hits: top_k(hits, k, ascending, by=("n", "query_id")).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def knn(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", id_col: str = "vec_id", vector: str = "embedding", query_block: int = QUERY_BLOCK, skip_self: bool = False) -> DataFrame:
@@ -110,16 +154,10 @@ def knn(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", id
     results; null vectors take no part; empty inputs give an empty result.
     """
     _checked(k)
-    kind = metric_of(metric)
+    ascending = metric_of(metric).ascending
     rows = base.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.col(vector).alias("q"))
-    found = None
-    for ids, block in query_blocks(asked, query_block):
-        part = rows.mapInPandas(lambda it, a=ids, b=block: _local(it, a, b, k, metric, kind.ascending, skip_self), "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = base.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
-    return top_k(found, k, kind.ascending).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return in_blocks(rows, asked, lambda it, block: _local(it, block, k, metric, ascending, skip_self), HITS, ranked(k, ascending), query_block)
 
 
 def nearest(base: DataFrame, query: list[float], k: int = 10, metric: str = "l2", id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -7,10 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsmith.functions.distance import l2_squared
-from vecsmith.operators.search import matrix, scores, top_k
+from vecsmith.operators.scratch import stored
+from vecsmith.operators.search import HITS, in_blocks, matrix, nearer, ranked, scores
 
 _ASSIGNED = "vec_id long, vector array<float>, cell int"
+_LEAVES = "vec_id long, vector array<float>, leaves array<int>"
+_PLANES = "planes array<double>, offsets array<double>, trees int, depth int"
 
 
 def _sampled(base: DataFrame, id_col: str, vector: str, sample: int, seed: int) -> np.ndarray:
@@ -27,9 +29,8 @@ class PrunedCells:
 
     ``kd`` cuts at medians of the axes in turn and bounds cells by boxes; ``ball``
     cuts at the median of the axis of most variance and bounds them by balls. Cuts
-    come from at most ``sample`` rows, cells and their bounds from all rows. A query first
-    looks into its nearest cells, which gives a bound on its k-th distance, and then into all cells
-    that this bound reaches.
+    come from at most ``sample`` rows, cells and their bounds from all rows. What a task has found for a
+    query bounds its k-th distance; cells beyond that are skipped.
     """
 
     def __init__(self, kind: str = "kd", leaf: int = 40, sample: int = 16_384, seed: int = 42, most_cells: int = 4096):
@@ -74,7 +75,7 @@ class PrunedCells:
                     yield b.assign(cell=self._cells_of(matrix(b["vector"])).astype(np.int32))
 
         slim = base.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"))
-        self.assigned = slim.mapInPandas(assigned, _ASSIGNED)
+        self.assigned = stored(slim.mapInPandas(assigned, _ASSIGNED), "cells")
 
         def bounds(batches):  # cells x dimensions numbers for each task
             low, high, total, n = {}, {}, {}, {}
@@ -117,54 +118,45 @@ class PrunedCells:
             return np.maximum(0.0, np.sqrt(scores(q, self.center, "l2")) - self.radius[None, :]) ** 2
         return np.stack([(np.maximum(0.0, np.maximum(self.low - x, x - self.high)) ** 2).sum(axis=1) for x in q]) if len(q) else np.zeros((0, len(self.ids)))
 
-    def _joined(self, asked: DataFrame, pick, k: int) -> DataFrame:
-        def probes(batches):
-            for b in batches:
-                if len(b):
-                    hit = pick(self._least(matrix(b["q"])), b)
-                    q, c = np.nonzero(hit)
-                    yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[q], "q": b["q"].to_numpy()[q], "cell": self.ids[c].astype(np.int32)})
-
-        pairs = asked.mapInPandas(probes, "query_id long, q array<float>, cell int").join(self.assigned, "cell")
-        return top_k(pairs.select("query_id", "vec_id", l2_squared("vector", "q").alias("score")), k, True)
-
     def search(self, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-        """(query_id, rank, vec_id, score), the same as the exact scan."""
+        """(query_id, rank, vec_id, score), the same as the exact scan.
+
+        Queries go in blocks to all tasks. A task skips the rows of a cell that lies farther from a query than the k rows it has seen.
+        """
         if k < 1:
             raise ValueError("k must be at least 1")
-        asked = queries.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.col(vector).cast("array<float>").alias("q"))
-
-        def first(least, _):
-            order = np.argsort(least, axis=1, kind="stable")
-            enough = np.cumsum(self.count[order], axis=1)
-            hit = np.zeros(least.shape, bool)
-            np.put_along_axis(hit, order, (enough - self.count[order]) < k, axis=1)
-            return hit
 
-        near = self._joined(asked, first, k).groupBy("query_id").agg(F.max("score").alias("bound"), F.count(F.lit(1)).alias("n"))
-        bounded = asked.join(near, "query_id", "left").select("query_id", "q", F.when(F.col("n") >= k, F.col("bound")).otherwise(F.lit(float("inf"))).alias("bound"))
-
-        def probes(batches):
+        def candidates(batches, asked):
+            block, best = asked.value, None
+            least, bound = self._least(block.vectors), np.full(len(asked.value.ids), np.inf)
             for b in batches:
-                if len(b):
-                    least = self._least(matrix(b["q"]))
-                    q, c = np.nonzero(least <= b["bound"].to_numpy()[:, None] * (1 + 1e-9) + 1e-12)
-                    yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[q], "q": b["q"].to_numpy()[q], "cell": self.ids[c].astype(np.int32)})
+                for at in range(0, len(b), 2048):
+                    some = b.iloc[at : at + 2048]
+                    cell = np.searchsorted(self.ids, some["cell"].to_numpy())
+                    may = least[:, cell] <= (bound * (1 + 1e-9) + 1e-12)[:, None]
+                    if (hit := may.any(axis=0)).any():
+                        best = nearer(best, matrix(some["vector"][hit]), some["vec_id"].to_numpy()[hit], block.vectors, may[:, hit], k)
+                        last = best[best.groupby("q").cumcount() == k - 1]
+                        bound[last["q"]] = last["score"]
+            if best is not None:
+                yield block.named(best)
 
-        pairs = bounded.mapInPandas(probes, "query_id long, q array<float>, cell int").join(self.assigned, "cell")
-        found = top_k(pairs.select("query_id", "vec_id", l2_squared("vector", "q").alias("score")), k, True)
-        return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        asked = queries.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.col(vector).cast("array<float>").alias("q"))
+        return in_blocks(self.assigned, asked, candidates, HITS, ranked(k), 512)
 
 
 class PlaneForest:
     """``trees`` trees of random planes through sampled midpoints; a leaf is a bit string.
 
     A query looks into its own leaf of each tree and into ``extra`` more, those
-    whose crossed planes lie nearest; the union is ranked by exact squared L2.
+    whose crossed planes lie nearest; the union is ranked by exact squared L2 (or ``angular``
+    distance). Queries go in blocks to all tasks, which compare leaves, look at the rows that share one and send k rows a query.
     """
 
-    def __init__(self, trees: int = 10, depth: int = 6, extra: int = 3, seed: int = 42, sample: int = 4096):
-        self.trees, self.depth, self.extra, self.seed, self.sample = trees, depth, extra, seed, sample
+    def __init__(self, trees: int = 10, depth: int = 6, extra: int = 3, seed: int = 42, sample: int = 4096, metric: str = "l2"):
+        if metric not in ("l2", "angular"):
+            raise ValueError("metric is 'l2' or 'angular'")
+        self.trees, self.depth, self.extra, self.seed, self.sample, self.metric = trees, depth, extra, seed, sample, metric
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "assigned"}
@@ -187,26 +179,53 @@ class PlaneForest:
                     yield b.assign(leaves=list(((margin > 0) * powers).sum(axis=2).astype(np.int32)))
 
         slim = base.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"))
-        self.assigned = slim.mapInPandas(leaves, "vec_id long, vector array<float>, leaves array<int>")
+        self.assigned = stored(slim.mapInPandas(leaves, _LEAVES), "leaves")
         return self
 
-    def search(self, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-        """(query_id, rank, vec_id, score)."""
-        powers = 1 << np.arange(self.depth)
+    def save(self, spark, folder: str) -> None:
+        """The planes (one row) and the rows with their leaves, in a folder."""
+        planes = [(self.planes.ravel().tolist(), self.offsets.ravel().tolist(), self.trees, self.depth)]
+        spark.createDataFrame(planes, _PLANES).coalesce(1).write.parquet(f"{folder}/planes")
+        self.assigned.write.parquet(f"{folder}/rows")
+
+    def load(self, spark, folder: str) -> PlaneForest:
+        row = spark.read.schema(_PLANES).parquet(f"{folder}/planes").first()
+        self.trees, self.depth = row["trees"], row["depth"]
+        self.planes, self.offsets = np.array(row["planes"]).reshape(self.trees, self.depth, -1), np.array(row["offsets"]).reshape(self.trees, self.depth)
+        self.assigned = spark.read.schema(_LEAVES).parquet(f"{folder}/rows")
+        return self
 
-        def probes(batches):
+    def search(self, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+        """(query_id, rank, vec_id, score); null and, for angular distance, zero vectors take no part."""
+        trees, extra, unit = self.trees, self.extra, self.metric == "angular"
+        planes, offsets, powers = self.planes, self.offsets, 1 << np.arange(self.depth)
+
+        def scaled(x: np.ndarray) -> np.ndarray:
+            size = np.sqrt((x**2).sum(axis=1, keepdims=True))
+            return np.divide(x, size, out=np.zeros_like(x), where=size > 0) if unit else x
+
+        def candidates(batches, asked):
+            block, best = asked.value, None
+            margin = np.einsum("nd,tkd->ntk", block.vectors, planes) - offsets
+            own = ((margin > 0) * powers).sum(axis=2)
+            near = np.argsort(np.abs(margin), axis=2, kind="stable")[:, :, :extra]
+            probes = np.concatenate([own[:, :, None], own[:, :, None] ^ powers[near]], axis=2)  # queries, trees, leaves
+            theirs, queries = scaled(block.vectors), (block.vectors != 0).any(axis=1)
             for b in batches:
-                rows = []
-                for qid, q in zip(b["query_id"], b["q"], strict=True):
-                    margin = self.planes @ np.asarray(q, float) - self.offsets
-                    for t in range(self.trees):
-                        leaf = int(((margin[t] > 0) * powers).sum())
-                        near = np.argsort(np.abs(margin[t]), kind="stable")[: self.extra]
-                        rows += [(qid, t, leaf), *((qid, t, leaf ^ int(powers[d])) for d in near)]
-                yield pd.DataFrame(rows, columns=["query_id", "tree", "leaf"])
+                for at in range(0, len(b), 2048):
+                    some = b.iloc[at : at + 2048]
+                    leaves, rows = np.stack(some["leaves"].to_list()), matrix(some["vector"])
+                    may = np.zeros((len(own), len(some)), bool)
+                    for t in range(trees):
+                        for leaf in probes[:, t].T:
+                            may |= leaf[:, None] == leaves[None, :, t]
+                    if unit:
+                        may &= queries[:, None] & (rows != 0).any(axis=1)[None, :]
+                    if (hit := may.any(axis=0)).any():
+                        best = nearer(best, scaled(rows[hit]), some["vec_id"].to_numpy()[hit], theirs, may[:, hit], k)
+            if best is not None:
+                # between unit vectors squared L2 is 2 (1 - cosine)
+                yield block.named(best.assign(score=np.sqrt(best["score"])) if unit else best)
 
         asked = queries.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.col(vector).cast("array<float>").alias("q"))
-        leaves = self.assigned.select("vec_id", F.posexplode("leaves").alias("tree", "leaf"))
-        pairs = asked.mapInPandas(probes, "query_id long, tree int, leaf int").join(leaves, ["tree", "leaf"]).select("query_id", "vec_id").distinct()
-        scored = pairs.join(self.assigned.select("vec_id", "vector"), "vec_id").join(asked, "query_id").select("query_id", "vec_id", l2_squared("vector", "q").alias("score"))
-        return top_k(scored, k, True).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        return in_blocks(self.assigned, asked, candidates, HITS, ranked(k), 512)

@@ -9,6 +9,7 @@ from vecsmith.operators.graph import ProximityGraphs
 from vecsmith.operators.ivf import InvertedCells
 from vecsmith.operators.lsh import HashTables
 from vecsmith.operators.pq import ProductQuantizer
+from vecsmith.operators.scratch import stored
 from vecsmith.operators.search import knn
 from vecsmith.operators.trees import PlaneForest, PrunedCells
 
@@ -16,7 +17,7 @@ KINDS = ("flat_l2", "flat_ip", "ivf", "pq", "lsh", "hnsw", "kdtree", "balltree",
 
 
 class Index:
-    """Rows are (id, vector); added frames are kept lazily and numbered by the caller's ids."""
+    """Rows are (id, vector), numbered by the caller's ids. Added frames are kept as they are; ``build`` stores what searches need of them."""
 
     def __init__(self, kind: str, dim: int, **options):
         if kind not in KINDS:
@@ -51,7 +52,7 @@ class Index:
         return self
 
     def build(self) -> Index:
-        """Make what searches need; ``search`` does so by itself."""
+        """Make and store what searches need: cells, codes, assigned leaves or graphs; ``search`` does so by itself."""
         if self.rows is None:
             raise RuntimeError("the index is empty")
         if self.kind == "ivf":
@@ -64,6 +65,8 @@ class Index:
             self.state = self.method.fit(self.rows)
         elif self.kind == "hnsw":
             self.state = self.method.fit(self.rows)
+        if isinstance(self.state, DataFrame):
+            self.state = stored(self.state, self.kind)
         return self
 
     def set_nprobe(self, nprobe: int) -> None:
@@ -93,7 +96,7 @@ class Index:
             self.build()
         if self.kind == "lsh":
             return self.method.search(self.state, self.method.encode(queries), k, **options)
-        if self.kind in ("kdtree", "balltree", "annoy"):
+        if self.kind in ("kdtree", "balltree", "annoy", "hnsw"):
             return self.method.search(queries, k, **options)
         return self.method.search(self.state, queries, k, **options)
 

@@ -16,11 +16,13 @@ from vecsmith.functions import text as T
 from vecsmith.functions.embed import embedded
 from vecsmith.operators import aggregates as A
 from vecsmith.operators import evaluate, filters
+from vecsmith.operators.collection import Collections
 from vecsmith.operators.graph import ProximityGraphs
 from vecsmith.operators.ivf import InvertedCells
 from vecsmith.operators.kmeans import lloyd_step
 from vecsmith.operators.lsh import HashTables, hamming_counts
 from vecsmith.operators.pq import ProductQuantizer
+from vecsmith.operators.scratch import scratch_dir, stored
 from vecsmith.operators.search import enriched, filtered_fetch, knn, matrix, search, top_k
 from vecsmith.operators.trees import PlaneForest, PrunedCells
 from vecsmith.plans.ingest import chunked, process_text
@@ -262,8 +264,7 @@ def annoy_search(spark, sf_dir):
 def hnsw_search(spark, sf_dir):
     """Graphs of about 2000 rows, as many as the table needs; recall is tested on a graph of that size."""
     base = _base(spark, sf_dir)
-    graphs = ProximityGraphs(16, 100, 64, rows=2000)
-    return _shown(graphs.search(graphs.fit(base), _asked(base), K))
+    return _shown(ProximityGraphs(16, 100, 64, rows=2000).fit(base).search(_asked(base), K))
 
 
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '')"
@@ -304,26 +305,62 @@ def metadata_lookup_join(spark, sf_dir):
     return enriched(docs, labels).select(F.col("file_id").alias("doc_id"), "source", F.coalesce(F.col("quality").cast("int"), F.lit(-1)).alias("quality"), F.coalesce(F.col("toxic").cast("int"), F.lit(-1)).alias("toxic"))
 
 
+def _documents_kept(spark: SparkSession, sf_dir: str) -> tuple[Collections, DataFrame]:
+    """A collection of one-dimensional vectors with the documents' metadata, and (vec_id, doc_id) of its rows."""
+    docs, kept = _t(spark, sf_dir, "documents"), Collections(spark, scratch_dir(spark))
+    kept.create("documents", 1)
+    facts = F.create_map(F.lit("doc_id"), F.col("doc_id").cast("string"), F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"))
+    kept.insert("documents", docs.select(F.array(F.lit(0.0)).alias("vector"), facts.alias("metadata")))
+    return kept, kept.rows("documents").select("vec_id", F.col("metadata")["doc_id"].cast("long").alias("doc_id"))
+
+
+def _kept_rows(kept: Collections, *columns: str) -> DataFrame:
+    m = F.col("metadata")
+    return kept.rows("documents").select(m["doc_id"].cast("long").alias("doc_id"), *[F.try_element_at(m, F.lit(c)).alias(c) for c in columns])
+
+
 @query("select d.doc_id, case when l.doc_id is null then d.source else 'q' || quality end as source from documents d left join labels l using (doc_id)")
 def modify_replace(spark, sf_dir):
-    docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
-    new = labels.select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("_new"), F.lit(True).alias("_hit"))
-    return docs.join(new, "doc_id", "left").select("doc_id", F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("source")).alias("source"))
+    kept, ids = _documents_kept(spark, sf_dir)
+    facts = F.create_map(F.lit("doc_id"), F.col("doc_id").cast("string"), F.lit("source"), F.concat(F.lit("q"), F.col("quality").cast("string")))
+    kept.modify("documents", ids.join(_t(spark, sf_dir, "labels"), "doc_id").select("vec_id", F.array(F.lit(1.0)).alias("vector"), facts.alias("metadata")))
+    return _kept_rows(kept, "source")
 
 
 @query("select d.doc_id, d.source, d.lang, coalesce(l.quality::varchar, '-') as quality from documents d left join labels l using (doc_id)")
 def modify_merge(spark, sf_dir):
-    docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
-    old = F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"))
-    new = labels.select("doc_id", F.create_map(F.lit("quality"), F.col("quality").cast("string")).alias("_m"))
-    merged = docs.join(new, "doc_id", "left").withColumn("m", F.map_concat(old, F.coalesce("_m", F.create_map().cast("map<string,string>"))))
-    return merged.select("doc_id", F.col("m")["source"].alias("source"), F.col("m")["lang"].alias("lang"), F.coalesce(F.try_element_at("m", F.lit("quality")), F.lit("-")).alias("quality"))
+    kept, ids = _documents_kept(spark, sf_dir)
+    new = ids.join(_t(spark, sf_dir, "labels"), "doc_id").select("vec_id", F.lit(None).alias("vector"), F.create_map(F.lit("quality"), F.col("quality").cast("string")).alias("metadata"))
+    kept.modify("documents", new, merge=True)
+    return _kept_rows(kept, "source", "lang", "quality").withColumn("quality", F.coalesce("quality", F.lit("-")))
 
 
 @query("select doc_id, source from documents where doc_id not in (select doc_id from labels where toxic = 1)")
 def delete_anti(spark, sf_dir):
-    gone = _t(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
-    return _t(spark, sf_dir, "documents").join(gone, "doc_id", "left_anti").select("doc_id", "source")
+    kept, ids = _documents_kept(spark, sf_dir)
+    kept.delete("documents", ids.join(_t(spark, sf_dir, "labels").where("toxic = 1"), "doc_id", "left_semi").select("vec_id"))
+    return _kept_rows(kept, "source")
+
+
+def _collection_search(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
+    """Inserted, changed to inverted cells that are all probed, then searched through the collection."""
+    base, kept = _base(spark, sf_dir), Collections(spark, scratch_dir(spark))
+    kept.create("vectors", 64, metric)
+    ordered = base.repartitionByRange("vec_id").sortWithinPartitions("vec_id")
+    kept.insert("vectors", ordered.select(F.col("embedding").alias("vector"), F.create_map(F.lit("id"), F.col("vec_id").cast("string")).alias("metadata")))
+    kept.optimize("vectors", 16, nprobe=16)
+    found = kept.search("vectors", _asked(base).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), K)
+    return _shown(found.withColumn("vec_id", F.col("metadata")["id"].cast("long")))
+
+
+@query(_ranked_sql(_L2, "asc"))
+def collection_l2_search(spark, sf_dir):
+    return _collection_search(spark, sf_dir, "l2")
+
+
+@query(_ranked_sql("list_inner_product(e, qe)", "desc"))
+def collection_ip_search(spark, sf_dir):
+    return _collection_search(spark, sf_dir, "ip")
 
 
 _KINDS = "['txt', 'jpg', 'mp4', 'wav', 'exe']"
@@ -413,5 +450,5 @@ def process_documents(spark, sf_dir):
 def text_knn(spark, sf_dir):
     """Text search: hashed vectors of all texts, queries by id, cosine."""
     docs = _t(spark, sf_dir, "documents")
-    base = docs.select(F.col("doc_id").alias("vec_id"), embedded(F.coalesce("text", F.lit(""))).alias("embedding"))
+    base = stored(docs.select(F.col("doc_id").alias("vec_id"), embedded(F.coalesce("text", F.lit(""))).alias("embedding")), "vectors")
     return _shown(knn(base, _asked(base), K, "cosine"))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from vecsmith.functions import text as T
+from vecsmith.functions.embed import embedded
+from vecsmith.operators.aggregates import mean_vectors
 
 _WORD_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 #: Decoders by extension, for types that need a library of their own: bytes -> text.
@@ -85,6 +87,34 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return got.select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), mode.alias("mode"), F.col("image.data").alias("pixels"))
 
 
+def as_rgb(df: DataFrame, pixels: str = "pixels", mode: str = "mode") -> DataFrame:
+    """``df`` with its pixels as RGB bytes, whatever their mode: grey (L), blue-green-red (RGB by ``images``) or with a fourth, dropped channel (RGBA)."""
+
+    @pandas_udf("binary")
+    def turned(content: pd.Series, kinds: pd.Series) -> pd.Series:
+        out = []
+        for c, kind in zip(content, kinds, strict=True):
+            if c is None or kind is None:
+                out.append(None)
+                continue
+            x = np.frombuffer(c, np.uint8).reshape(-1, {"L": 1, "RGB": 3, "RGBA": 4}[kind])
+            out.append(np.repeat(x, 3, axis=1).tobytes() if kind == "L" else np.ascontiguousarray(x[:, 2::-1]).tobytes())
+        return pd.Series(out)
+
+    return df.withColumn(pixels, turned(pixels, mode)).withColumn(mode, F.lit("RGB"))
+
+
+def image_vectors(spark: SparkSession, path: str, embedder: str = "colour-image") -> DataFrame:
+    """(path, width, height, embedding): images turned to RGB, then embedded by their pixels."""
+    return as_rgb(images(spark, path)).select("path", "width", "height", embedded(F.col("pixels"), embedder).alias("embedding"))
+
+
+def video_vectors(df: DataFrame, embedder: str = "hashing-bytes", most: int = 10) -> DataFrame:
+    """(path, mean_vector): the element-wise mean of the vectors of a video's first ``most`` frames."""
+    vectors = frames(df, most).select("path", embedded(F.col("content"), embedder).alias("embedding"))
+    return mean_vectors(vectors, ["path"])
+
+
 def wav_samples(content: bytes) -> tuple[np.ndarray, int]:
     """Mono samples in -1 to 1 and the rate of a PCM wave file."""
     import wave

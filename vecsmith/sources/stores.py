@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 
@@ -59,6 +60,56 @@ def jdbc_read(spark: SparkSession, url: str, table: str, **options) -> DataFrame
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
+class JdbcTable:
+    """Rows of a database table by one key column: put, get, update, delete, search; whole columns go through Spark, single rows through the driver's connection.
+
+    Values are bound as parameters; names of columns must be plain words.
+    """
+
+    def __init__(self, spark: SparkSession, url: str, table: str, key: str, **options):
+        self.spark, self.url, self.table, self.key, self.options = spark, url, _plain(table), _plain(key), options
+
+    def rows(self) -> DataFrame:
+        return jdbc_read(self.spark, self.url, self.table, **self.options)
+
+    def put(self, df: DataFrame) -> None:
+        """Append; a key that is there already is the database's error, if it has a constraint."""
+        jdbc_write(df, self.url, self.table, **self.options)
+
+    def get(self, key) -> DataFrame:
+        return self.rows().where(F.col(self.key) == F.lit(key))
+
+    def update(self, key, **values) -> bool:
+        """Whether the key was there."""
+        return bool(values) and self._execute(f"UPDATE {self.table} SET {', '.join(f'{_plain(c)} = ?' for c in values)} WHERE {self.key} = ?", [*values.values(), key]) > 0
+
+    def delete(self, key) -> bool:
+        return self._execute(f"DELETE FROM {self.table} WHERE {self.key} = ?", [key]) > 0
+
+    def search(self, filters: dict | None = None, null_safe: bool = True) -> DataFrame:
+        return self.rows().where(equals(filters) if null_safe else sql_equals(filters))
+
+    def _execute(self, sql: str, values: list) -> int:
+        jvm, properties = self.spark._jvm, self.spark._jvm.java.util.Properties()
+        for k in ("user", "password"):
+            if k in self.options:
+                properties.setProperty(k, str(self.options[k]))
+        connection = jvm.java.sql.DriverManager.getConnection(self.url, properties)
+        try:
+            statement = connection.prepareStatement(sql)
+            for i, v in enumerate(values, 1):
+                statement.setObject(i, bytearray(v) if isinstance(v, bytes) else v)
+            return statement.executeUpdate()
+        finally:
+            connection.close()
+
+
+def _plain(name: str) -> str:
+    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_.]*", name):
+        raise ValueError(f"no plain name: {name!r}")
+    return name
+
+
 class MetadataStore:
     """File metadata by ``file_id``: typed columns and an overflow map, in versioned Parquet."""
 
@@ -79,7 +130,9 @@ class MetadataStore:
             self.store.delete(old)
 
     def put(self, rows: DataFrame) -> None:
-        """Add or replace; columns that are no typed ones go to ``extra``."""
+        """Add or replace; columns that are no typed ones go to ``extra``. Several rows for one ``file_id`` are an error."""
+        if rows.where("file_id is not null").groupBy("file_id").count().where("count > 1").limit(1).count():
+            raise ValueError("several rows for one file_id")
         typed = {c.split()[0]: c.split()[1] for c in FILE_COLUMNS.split(", ")}
         more = [c for c in rows.columns if c not in typed]
         extra = F.create_map(*[x for c in more for x in (F.lit(c), F.col(c).cast("string"))]).cast("map<string,string>") if more else F.lit(None).cast("map<string,string>")

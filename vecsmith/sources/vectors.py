@@ -59,12 +59,19 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, _dump, "float")
 
 
-def write_dump(df: DataFrame, path: str, vector: str = "vector", seq: str = "seq") -> None:
-    """One dump for each partition of a range sort by ``seq``, as binary rows in Parquet (path is a folder)."""
+def write_dump(df: DataFrame, path: str, vector: str = "vector", seq: str = "seq", rows: int = 65_536) -> None:
+    """Dumps of at most ``rows`` rows in order of ``seq``, as binary rows (part, n, dump) in Parquet (path is a folder)."""
 
     def parts(batches):
-        rows = [np.asarray(v, np.float32) for b in batches for v in b["v"]]
-        if rows:
-            yield pd.DataFrame({"n": [len(rows)], "dump": [dumped(np.stack(rows))]})
+        from pyspark import TaskContext
 
-    df.select(F.col(vector).alias("v"), F.col(seq).alias("s")).repartitionByRange("s").sortWithinPartitions("s").select("v").mapInPandas(parts, "n long, dump binary").write.parquet(path)
+        part, held = TaskContext.get().partitionId() << 32, []
+        for b in batches:
+            held += [np.asarray(v, np.float32) for v in b["v"]]
+            while len(held) >= rows:
+                yield pd.DataFrame({"part": [part], "n": [rows], "dump": [dumped(np.stack(held[:rows]))]})
+                part, held = part + 1, held[rows:]
+        if held:
+            yield pd.DataFrame({"part": [part], "n": [len(held)], "dump": [dumped(np.stack(held))]})
+
+    df.select(F.col(vector).alias("v"), F.col(seq).alias("s")).repartitionByRange("s").sortWithinPartitions("s").select("v").mapInPandas(parts, "part long, n long, dump binary").write.parquet(path)
