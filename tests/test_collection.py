@@ -153,3 +153,18 @@ def test_built(spark, root, kind, options):
     c.create("h", 4, "ip")
     with pytest.raises(ValueError):
         c.build("h", kind)
+
+
+def test_snapshots_by_the_clock(spark, root):
+    import time
+
+    f = FileStore(spark, f"{root}/files")
+    f.put(b"x", "a.txt")
+    s = Snapshots(spark, root, ("files",))
+    ended = s.every(0.2, most=2)
+    until = time.time() + 60
+    while len(s.list()) < 2 and time.time() < until:
+        time.sleep(0.2)
+    ended.set()
+    time.sleep(0.5)
+    assert 2 <= len(s.list()) <= 3

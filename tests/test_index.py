@@ -139,3 +139,12 @@ def test_copies_in_samples(spark):
     forest = PlaneForest(4, 4, sample=100).fit(df)
     cut = np.einsum("tkd,d->tk", forest.planes, x[low].astype(float))
     assert not np.allclose(cut, forest.offsets)
+
+
+def test_async(data):
+    x, df = data
+    index = create_index("ivf", 16, nlist=4, nprobe=4, iterations=2)
+    index.train_async(df).result()
+    index.add_async(df).result()
+    found = [index.search_async(df.where(f"vec_id = {i}"), 1) for i in range(3)]
+    assert [f.result().first().vec_id for f in found] == [0, 1, 2]

@@ -65,5 +65,10 @@ def test_service(spark, tmp_path):
     assert key not in [r.api_key for r in s.users.list().collect()]
     assert s.users.set_level("u", 2) and s.users.find("u").first().level == 2 and not s.users.set_level("v", 1)
     assert s.users.delete("u") and not s.users.delete("u")
+    s.use_embedder("colour-image")
+    assert s.settings.embedder == "colour-image"
+    with pytest.raises(ValueError):
+        s.use_embedder("none")
+    assert Settings().folder(spark).endswith("/warehouse/vecsmith")
     s.snapshots.create()
     assert s.status()["collections"] == {"c": 10} and s.status()["snapshots"] == 1

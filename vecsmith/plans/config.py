@@ -12,7 +12,9 @@ from vecsmith.functions.distance import METRICS
 
 @dataclass(frozen=True)
 class Settings:
-    root: str = "file:///tmp/vecsmith"
+    """``root`` holds all that a service keeps; empty, it is the folder ``vecsmith`` in the session's warehouse, which all executors share."""
+
+    root: str = ""
     metric: str = "l2"
     embedder: str = "hashing-text"
     chunk_words: int = 100
@@ -40,5 +42,9 @@ class Settings:
                 out[f.name] = type(f.default)(value)
         return cls(**(out | given))
 
+    def folder(self, spark: SparkSession) -> str:
+        """``root``, or where it is empty its place in the warehouse."""
+        return self.root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/vecsmith"
+
     def items(self) -> dict:
         return asdict(self)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import Future, ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from vecsmith.operators.scratch import stored
 from vecsmith.operators.search import knn
 from vecsmith.operators.trees import PlaneForest, PrunedCells
 
+_POOL = ThreadPoolExecutor(4, thread_name_prefix="index")
 KINDS = ("flat_l2", "flat_ip", "ivf", "pq", "lsh", "hnsw", "kdtree", "balltree", "annoy")
 
 
@@ -79,6 +82,16 @@ class Index:
             raise TypeError(f"{self.kind} has no search width")
         self.method.set_width(width)
 
+    def train_async(self, df: DataFrame) -> Future:
+        return _POOL.submit(self.train, df)
+
+    def add_async(self, df: DataFrame) -> Future:
+        return _POOL.submit(self.add, df)
+
+    def search_async(self, queries: DataFrame, k: int = 10, **options) -> Future:
+        """The rows found, worked out in a thread of the driver (and so beside other jobs) when the future is done."""
+        return _POOL.submit(lambda: stored(self.search(queries, k, **options), "found"))
+
     @property
     def size(self) -> int:
         return 0 if self.rows is None else self.rows.count()

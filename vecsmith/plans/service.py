@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vecsmith.functions.embed import dimension
 from vecsmith.operators.collection import Collections
 from vecsmith.plans.cache import ResultCache
 from vecsmith.plans.config import Settings
@@ -20,12 +22,17 @@ class Service:
     def __init__(self, spark: SparkSession, settings: Settings | None = None):
         self.spark = spark
         self.settings = settings or Settings.of(spark)
-        root = self.settings.root
+        root = self.settings.folder(spark)
         self.collections = Collections(spark, f"{root}/vectors")
         self.metadata, self.files = MetadataStore(spark, f"{root}/metadata"), FileStore(spark, f"{root}/files")
         self.users, self.snapshots = Users(spark, f"{root}/users"), Snapshots(spark, root, ("vectors", "metadata", "files"))
         self.cache = ResultCache(self.settings.cache_entries, self.settings.cache_seconds)
 
+    def use_embedder(self, name: str) -> None:
+        """Switch to another registered embedder for all later calls."""
+        dimension(name)
+        self.settings = replace(self.settings, embedder=name)
+
     def process_text(self, docs: DataFrame, file_id: str = "file_id", text: str = "text") -> DataFrame:
         return process_text(docs, file_id, text, self.settings.embedder)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import threading
 import time
 import uuid
 
@@ -87,7 +88,11 @@ class JdbcTable:
         return self._execute(f"DELETE FROM {self.table} WHERE {self.key} = ?", [key]) > 0
 
     def search(self, filters: dict | None = None, null_safe: bool = True) -> DataFrame:
-        return self.rows().where(equals(filters) if null_safe else sql_equals(filters))
+        """Rows whose columns equal the filters; None finds nulls, or with ``null_safe=False`` nothing. The database filters."""
+        rows = self.rows()
+        for c, v in (filters or {}).items():
+            rows = rows.where(F.col(c).isNull() if v is None and null_safe else F.col(c) == F.lit(v))
+        return rows
 
     def _execute(self, sql: str, values: list) -> int:
         jvm, properties = self.spark._jvm, self.spark._jvm.java.util.Properties()
@@ -182,6 +187,19 @@ class Snapshots:
         self.store.write(f"backups/{name}/manifest.json", "{}")  # last: a snapshot without it is incomplete
         return name
 
+    def every(self, seconds: float, most: int | None = None) -> threading.Event:
+        """Take a snapshot again and again in a thread of the driver, until the event is set; keep the newest ``most``."""
+        ended = threading.Event()
+
+        def run():
+            while not ended.wait(seconds):
+                self.create()
+                for name in self.list()[most:] if most else ():
+                    self.delete(name)
+
+        threading.Thread(target=run, daemon=True, name="snapshots").start()
+        return ended
+
     def list(self) -> list[str]:
         found = [(ms, n) for n, ms in self.store.list("backups") if self.store.exists(f"backups/{n}/manifest.json")]
         return [n for _, n in sorted(found, reverse=True)]
