@@ -4,70 +4,18 @@ from __future__ import annotations
 
 import contextlib
 import functools
-import tempfile
-import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from vecsmith.operators.scratch import broadcast_if_small, dropped, scratch_dir, scratch_removed, stored  # noqa: F401
+
 WORD = r"[^\x20\x09-\x0D]+"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WORDS_KEPT = 300_000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (as in tests) a local folder is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}/vecsmith-scratch"
-    if "://" not in base and not base.startswith("file:"):
-        base = f"file://{base}"
-    return f"{base.rstrip('/')}/vecsmith-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str = "table", codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to a shared scratch table and read it back.
-
-    It cuts the lineage like ``checkpoint()`` and survives lost executors. The
-    shuffle files of the finished write are released at once.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}"
-    with shuffle_cleanup(spark):
-        df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(table: DataFrame, rows: int = 300_000) -> DataFrame:
-    """A stored table as a broadcast side if it has at most ``rows`` rows; else as it is, for a shuffled join."""
-    return F.broadcast(table) if table.count() <= rows else table
-
-
-def dropped(spark: SparkSession, table: DataFrame) -> None:
-    """Delete the scratch table that ``stored`` returned, once nothing reads it."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for file in table.inputFiles():
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(conf).delete(folder, True)
-        break
-
-
-@contextlib.contextmanager
-def shuffle_cleanup(spark: SparkSession):
-    """Within it, Spark removes a query's shuffle files when the query ends."""
-    before = spark.conf.get(_CLEANUP, "false")
-    with contextlib.suppress(Exception):
-        spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        with contextlib.suppress(Exception):
-            spark.conf.set(_CLEANUP, before)
-
-
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000):
     """Within it, queries send so many rows to Python at once: Arrow buffers lie outside of the heap."""
@@ -204,3 +152,19 @@ def batches_of_rows(batches, rows: int = 2000, size: int = 8 << 20):
             end = min(at + rows, max(at + 1, int(np.searchsorted(edge, before + size, side="right"))))
             yield batch.slice(at, end - at)
             at = end
+
+
+def gathered(batches, size: int = 12 << 20, rows: int = 20_000):
+    """Arrow batches joined until they hold ``size`` bytes (or ``rows`` rows), one at least; large ones stay as they are."""
+    import pyarrow as pa
+
+    waiting, held, n = [], 0, 0
+    for batch in batches:
+        if waiting and (held + batch.nbytes > size or n + batch.num_rows > rows):
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting, held, n = [], 0, 0
+        if batch.num_rows:
+            waiting.append(batch)
+            held, n = held + batch.nbytes, n + batch.num_rows
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
