@@ -19,7 +19,8 @@ def ids_of(path, texts):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
 def test_files(spark, docs, docs_rows, tokenizer, name, clashing):
     ids = ids_of(tokenizer(name), [r[1] for r in docs_rows])
-    order = sorted(range(len(docs_rows)), key=lambda i: (docs_rows[i][0] is not None, docs_rows[i][0] or 0, (docs_rows[i][1] or "").encode()))
+    tie = {r["text"]: r["tie"] for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")).collect()}
+    order = sorted(range(len(docs_rows)), key=lambda i: (docs_rows[i][0] is not None, docs_rows[i][0] or 0, tie[docs_rows[i][1]]))
     want, at = [], 0
     for i in order:
         own = np.array([*ids[i], 0], "<u4")
@@ -101,3 +102,66 @@ def test_budgets(docs, tokenizer):
     for r in rows.select("text", tokens_at(F.col("steps"), F.lit(40)).alias("at"), chars_within(F.col("steps"), F.lit(12)).alias("fit")).collect():
         assert r["at"] == len(sp.encode(r.text[:40]))
         assert len(sp.encode(r.text[: r.fit])) <= 12 and all(len(sp.encode(r.text[:i])) > 12 for i in range(r.fit + 1, min(len(r.text), r.fit + 30) + 1))
+
+
+def test_budgets_of_nulls(spark, tokenizer):
+    rows = token_prefixes(spark.createDataFrame([(1, "some words here"), (2, None)], "doc_id long, text string"), tokenizer("piece_bpe_32k.model"))
+    null = F.lit(None).cast("binary")
+    got = rows.select("doc_id", tokens_at(F.col("steps"), F.when(F.col("doc_id") == 2, 3)).alias("a"), chars_within(F.col("steps"), F.lit(None).cast("long")).alias("b"), tokens_at(null, F.lit(1)).alias("c"), chars_within(null, F.lit(1)).alias("d"), tokens_at(F.col("steps"), F.lit(-4)).alias("e"), chars_within(F.col("steps"), F.lit(-1)).alias("f")).collect()
+    assert sorted((r.doc_id, r.a, r.b, r.c, r.d, r.e, r.f) for r in got) == [(1, None, None, None, None, 0, 0), (2, 0, None, None, None, 0, 0)]
+
+
+ODD = ["a", "B", "é", "\n", " ", "  ", "\t", "\u00a0", "'s", "1", "²", "!", "...", "漢", "\0", "<|endoftext|>", "\r\n", "x1y", "-_", "😀", "ß", "İ", "\x1c", "\x85", " \n", "\n ", ".", ",", "word", " word."]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_as_the_library(tokenizer, name):
+    """Ids by piece are the library's; files with another pre-tokenizer or a normalizer go through it whole."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from vecsmith.llm import tokenizing
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(ODD) for _ in range(rng.randrange(14))) for _ in range(4000)] + [None, "", "Plain words, twice. Plain words, twice.\nAnd on."]
+    encode = tokenizing.SegmentIds(tokenizer(name))
+    assert encode.cuts == (name == "byte_bpe_50k.json")
+    library = Tokenizer.from_file(tokenizer(name))
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, encode.dtype).tolist() for x in encode(texts)] == want
+    assert [np.frombuffer(x, encode.dtype).tolist() for x in encode(texts[::-1])] == want[::-1]
+
+
+def test_pieces_forgotten(tokenizer, monkeypatch):
+    from vecsmith.llm import tokenizing
+
+    path = tokenizer("byte_bpe_50k.json")
+    texts = [f"alpha{i % 7} beta{i}, gamma{i % 3}." for i in range(300)]
+    want = tokenizing.SegmentIds(path)(texts)
+    monkeypatch.setattr(tokenizing, "_KEPT", 50)
+    monkeypatch.setattr(tokenizing, "_AT_ONCE", 7)
+    encode = tokenizing.SegmentIds(path)
+    assert [x for at in range(0, 300, 20) for x in encode(texts[at : at + 20])] == want
+
+
+def test_very_long_texts(spark, tokenizer):
+    """Texts of some megabytes, one of them without any space."""
+    import sentencepiece
+
+    from tests.llm.conftest import prose
+    import random
+
+    rng = random.Random(8)
+    texts = [prose(rng, 400_000), "x" * 300_000 + "yz" * 1000, "z\n" * 200_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = ids_of(tokenizer("byte_bpe_50k.json"), texts)
+    got = {r.doc_id: r for r in read_token_files(spark, write_token_files(docs, tokenizer("byte_bpe_50k.json"))).collect()}
+    assert all(np.frombuffer(got[i].ids, "<u4").tolist() == [*x, 0] for i, x in enumerate(ids))
+    packed = collections.Counter()
+    for r in pack(docs, tokenizer("byte_bpe_50k.json")).collect():
+        packed[r.doc_id] += r.length
+    assert packed == {i: len(x) + 1 for i, x in enumerate(ids)}
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model"))
+    counts = {r.doc_id: r.n_tokens for r in token_prefixes(docs, tokenizer("piece_bpe_32k.model")).select("doc_id", "n_tokens").collect()}
+    assert counts[0] == len(sp.encode(texts[0])) and counts[2] == len(sp.encode(texts[2]))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsmith.llm.common import batches_of_rows, mix, small_batches, stored, task
+from vecsmith.llm.common import batches_of_rows, gathered, mix, small_batches, stored, task
 from vecsmith.llm.tokenizing import segment_ids
 
 LENGTH, DIMENSIONS, BITS = 2048, 3, 10
@@ -51,15 +51,13 @@ def projection(vocabulary: int, dims: int) -> np.ndarray:
     return ((cells >> np.uint64(11)).astype(np.float64) / 2**52 - 1).astype(np.float32)
 
 
-def curve_keys(ids: list[np.ndarray], table: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Hilbert keys of documents: the direction of their projected token counts."""
-    sizes = np.array([len(x) for x in ids])
-    sums = np.zeros((len(ids), table.shape[1]))
-    if sizes.sum():
-        flat = np.concatenate([x for x in ids if len(x)]).astype(np.intp)
-        starts = np.cumsum(sizes[sizes > 0]) - sizes[sizes > 0]
+def curve_keys(flat: np.ndarray, sizes: np.ndarray, table: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Hilbert keys of documents (their ids in ``flat``, ``sizes`` of them each): the direction of their projected token counts."""
+    sums, some = np.zeros((len(sizes), table.shape[1])), sizes > 0
+    if some.any():
+        flat, starts = flat.astype(np.intp), (np.cumsum(sizes) - sizes)[some]
         for d, column in enumerate(np.ascontiguousarray(table.T)):
-            sums[sizes > 0, d] = np.add.reduceat(column.take(flat), starts)
+            sums[some, d] = np.add.reduceat(column.take(flat), starts)
     norm = np.sqrt((sums**2).sum(axis=1, keepdims=True))
     unit = np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0)
     return hilbert_keys(np.minimum((unit + 1) / 2 * (1 << bits), (1 << bits) - 1), bits)
@@ -74,10 +72,12 @@ def _tokenized(batches, path, dims, bits):
     if (path, dims) not in _TABLES:
         _TABLES[path, dims] = projection(encode.library.get_vocab_size(), dims)
     table = _TABLES[path, dims]
-    for batch in batches_of_rows(batches):
-        ids = encode(batch.column("text").to_pylist())
-        keys = curve_keys([np.frombuffer(x, encode.dtype) for x in ids], table, bits)
-        yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "key": pa.array(keys, pa.int64()), "ids": pa.array(ids, pa.binary())})
+    for batch in batches_of_rows(gathered(batches), 20_000, 16 << 20):
+        ids = encode.ids(batch.column("text"))
+        edge = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1).astype(np.int64) // encode.dtype.itemsize
+        flat = np.frombuffer(ids.buffers()[2] or b"", encode.dtype)[: edge[-1]]
+        keys = curve_keys(flat, np.diff(edge), table, bits)
+        yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "key": pa.array(keys, pa.int64()), "ids": ids})
 
 
 class _Packer:

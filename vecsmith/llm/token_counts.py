@@ -167,25 +167,28 @@ def token_prefixes(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
 
 def tokens_at(steps: Column, chars: Column) -> Column:
-    """Token count of the prefix of ``chars`` characters (the whole text, if it is shorter)."""
+    """Token count of the prefix of ``chars`` characters (the whole text, if it is shorter; 0 below 1); null if either is null."""
 
     @pandas_udf("long")
     def at(steps: pd.Series, chars: pd.Series) -> pd.Series:
-        return pd.Series([int(np.frombuffer(s, np.int8)[: max(int(n), 0)].sum(dtype=np.int64)) for s, n in zip(steps, chars, strict=True)])
+        return pd.Series([None if s is None or pd.isna(n) else int(np.frombuffer(s, np.int8)[: max(int(n), 0)].sum(dtype=np.int64)) for s, n in zip(steps, chars, strict=True)], dtype="Int64")
 
     return at(steps, chars)
 
 
 def chars_within(steps: Column, budget: Column) -> Column:
-    """The longest prefix, in characters, whose own token count is within ``budget``."""
+    """The longest prefix, in characters, whose own token count is within ``budget`` (0 if it is negative); null if either is null."""
 
     @pandas_udf("long")
     def within(steps: pd.Series, budget: pd.Series) -> pd.Series:
         out = []
         for s, n in zip(steps, budget, strict=True):
+            if s is None or pd.isna(n):
+                out.append(None)
+                continue
             fits = np.flatnonzero(np.cumsum(np.frombuffer(s, np.int8), dtype=np.int64) <= n)
             out.append(int(fits[-1]) + 1 if len(fits) else 0)
-        return pd.Series(out)
+        return pd.Series(out, dtype="Int64")
 
     return within(steps, budget)
 

@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsmith.llm.common import batches_of_rows, dropped, filesystem, scratch_dir, small_batches, stored, task
+from vecsmith.llm.common import batches_of_rows, dropped, filesystem, gathered, scratch_dir, small_batches, stored, task
 from vecsmith.llm.files import ShardFile, committed, file_rows, listed
 from vecsmith.llm.tokenizing import segment_ids
 
@@ -54,25 +55,21 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-_RAW = "part int, seq long, doc_id long, ids binary, counts binary"
+_RAW = "doc_id long, tie long, ids binary, counts binary"
 
 
 @task
 def _tokenized(batches, path: str, end_id: int):
-    """Ids of each document, in order; the task's last row has its counts of all ids instead."""
-    from pyspark import TaskContext
-
-    encode, part, seq = segment_ids(path), TaskContext.get().partitionId(), 0
-    end = np.array([end_id], encode.dtype).tobytes()
+    """Ids of each document; the task's last row has its counts of all ids instead."""
+    encode = segment_ids(path)
+    end = pa.scalar(np.array([end_id], encode.dtype).tobytes(), pa.binary())
     counts = np.zeros(max(encode.library.get_vocab_size(), end_id + 1), np.int64)
-    rows = lambda seqs, docs, ids, counts: pa.record_batch({"part": pa.array([part] * len(seqs), pa.int32()), "seq": pa.array(seqs, pa.int64()), "doc_id": docs, "ids": pa.array(ids, pa.binary()), "counts": pa.array(counts, pa.binary())})
-    for batch in batches_of_rows(batches):
-        ids = [x + end for x in encode(batch.column("text").to_pylist())]
-        n = batch.num_rows
-        counts += np.bincount(np.frombuffer(b"".join(ids), encode.dtype), minlength=len(counts))
-        yield rows(range(seq, seq + n), batch.column("doc_id").cast(pa.int64()), ids, [None] * n)
-        seq += n
-    yield rows([seq], pa.array([None], pa.int64()), [None], [counts.tobytes()])
+    names = ["doc_id", "tie", "ids", "counts"]
+    for batch in batches_of_rows(gathered(batches), 20_000, 16 << 20):
+        ids = pc.binary_join_element_wise(encode.ids(batch.column("text")), end, b"")
+        counts += np.bincount(np.frombuffer(ids.buffers()[2], encode.dtype), minlength=len(counts))
+        yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), batch.column("tie"), ids, pa.nulls(len(ids), pa.binary())], names)
+    yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names)
 
 
 @task
@@ -129,14 +126,17 @@ def _written(batches, folder, dtype, file_bytes):
         id_of = np.frombuffer(f.read(), "<u4")
     rank_of = np.zeros(int(id_of.max(initial=0)) + 1, np.uint32)
     rank_of[id_of] = np.arange(len(id_of), dtype=np.uint32)
-    shard, rows = None, []
+    from pyspark import TaskContext
+
+    shard, rows, part, seq = None, [], TaskContext.get().partitionId(), 0
     for batch in batches_of_rows(batches):
-        for part, seq, doc, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "doc_id", "ids")), strict=True):
-            if shard and ((part, seq) != (shard.part, shard.next) or shard.file.size >= file_bytes):
+        for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            if shard and shard.file.size >= file_bytes:
                 rows.append(shard.row())
                 shard = None
             shard = shard or _Shard(folder, part, seq, rank_of, dtype)
             shard.add(doc, ids)
+            seq += 1
     if shard:
         rows.append(shard.row())
     if rows:
@@ -144,16 +144,17 @@ def _written(batches, folder, dtype, file_bytes):
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0, id_col: str = "doc_id", text: str = "text", file_bytes: int = FILE_BYTES) -> str:
-    """Write the ids of all texts in ascending id order (null ids first, repeated ones by text); the folder.
+    """Write the ids of all texts in ascending id order (null ids first, repeated ones by a hash of their text); the folder.
 
-    Null texts count as empty. Each document's ids end with ``end_id``.
+    Null texts count as empty. Each document's ids end with ``end_id``. An empty table gives a folder without
+    token files. Texts are encoded where they lie; only ids are sorted.
     """
     spark = docs.sparkSession
     folder = folder or f"{scratch_dir(spark)}/ids"
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    order = slim.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     with small_batches(spark):
-        raw = stored(order.mapInArrow(lambda it: _tokenized(it, tokenizer, end_id), _RAW), "raw")
+        tied = slim.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+        raw = stored(tied.mapInArrow(lambda it: _tokenized(it, tokenizer, end_id), _RAW), "raw", "lz4")
     dtype = segment_ids(tokenizer).dtype
     counts = raw.where("counts is not null").select("counts").mapInArrow(_summed, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     by_rank = [r["id"] for r in counts.orderBy(F.desc("n"), "id").collect()]  # at most the vocabulary
@@ -162,7 +163,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     with fs.open_output_stream(f"{root}/ranks.bin") as out:
         out.write(np.array(by_rank, "<u4").tobytes())
     schema = "temporary string, name string, docs long, ids long, bytes long"
-    committed(raw.where("ids is not null").drop("counts").mapInArrow(lambda it: _written(it, folder, dtype, file_bytes), schema), folder, format=MAGIC.decode(), end_id=end_id)
+    order = raw.where("ids is not null").drop("counts").repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids")
+    committed(order.mapInArrow(lambda it: _written(it, folder, dtype, file_bytes), schema), folder, format=MAGIC.decode(), end_id=end_id)
     dropped(spark, raw)
     return folder
 
