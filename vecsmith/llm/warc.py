@@ -1,7 +1,8 @@
 """WARC archives: a deterministic sharded writer and its reader.
 
 Records are range-sorted by id; each range is a shard whose files roll at a
-compressed size. Headers (lengths, digests, ids, dates) are made anew from the
+compressed size. The ranges depend on the table's ids and sizes alone, not on how its
+rows are dealt, so one table always gives the same files. Headers (lengths, digests, ids, dates) are made anew from the
 payload. Files are written under temporary names and committed by a manifest.
 Every record is a gzip member of its own, so files can be cut at any record.
 """
@@ -12,11 +13,14 @@ import hashlib
 import uuid
 import zlib
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from vecsmith.llm.common import batches_of_rows, filesystem, scratch_dir, task
+from vecsmith.llm.common import batches_of_rows, dropped, filesystem, scratch_dir, stored, task
 from vecsmith.llm.files import ShardFile, committed, file_rows, listed
 
 FILE_BYTES, SMALLEST = 64 << 20, 100
@@ -24,6 +28,8 @@ DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("5b3c1c36-4c5e-5d36-9a53-2b7e3a3f5f10")
 _READ = 1 << 20
+#: Payload bytes of a shard, and how few and how many shards there are; ids a shard from which its bounds are taken.
+SHARD_BYTES, _FEWEST, _MOST, _EACH = 256 << 20, 32, 10_000, 64
 
 
 def _clean(url: str | None, page: object) -> str:
@@ -59,7 +65,7 @@ def _member(data: bytes, level: int) -> bytes:
 
 class _Shard:
     def __init__(self, folder, part, seq):
-        self.file, self.name = ShardFile(folder), f"shard-{part:06d}-{seq:05d}.warc.gz"
+        self.file, self.name, self.part, self.seq = ShardFile(folder), f"shard-{part:06d}-{seq:05d}.warc.gz", part, seq
         self.records, self.first, self.last, self.sha = 0, None, None, hashlib.sha256()
 
     def add(self, page, data):
@@ -79,25 +85,29 @@ _MANIFEST = pa.schema([("temporary", pa.string()), ("name", pa.string()), ("reco
 
 @task
 def _written(batches, folder, file_bytes, smallest, level, date):
-    from pyspark import TaskContext
-
-    part, shard, rows, at = TaskContext.get().partitionId(), None, [], None
+    shard, rows, at = None, [], None
     for batch in batches_of_rows(batches):
-        for page, tag, digest, refers, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "tag", "digest", "refers_to", "url", "html")), strict=True):
-            if at is None or at[0] != page:
-                at = (page, {}, set())  # this id's notes on what it revisits, and the digests it has
+        for part, page, tag, digest, refers, url, html in zip(*(batch.column(c).to_pylist() for c in ("shard", "page_id", "tag", "digest", "refers_to", "url", "html")), strict=True):
             if tag == 0:
+                if at is None or at[0] != page:
+                    at = (page, {}, set())  # this id's notes on what it revisits, and the digests it has
                 at[1][digest] = refers
                 continue
             payload = html.encode() if html else b""
-            digest = hashlib.sha256(payload).hexdigest()
-            again = len(payload) >= smallest and (digest in at[1] or page is not None and digest in at[2])
-            at[2].add(digest)
-            data = _member(record(page, url, payload, digest, at[1].get(digest, page), again, date), level)
-            if shard and shard.file.size + len(data) > file_bytes:
+            own = hashlib.sha256(payload).digest()
+            if page is None:
+                again = refers is not None
+            else:
+                if at is None or at[0] != page:
+                    at = (page, {}, set())
+                again = len(payload) >= smallest and (own in at[1] or own in at[2])
+                at[2].add(own)
+                refers = at[1].get(own, page)
+            data = _member(record(page, url, payload, own.hex(), refers, again, date), level)
+            if shard and (shard.part != part or shard.file.size + len(data) > file_bytes):
                 rows.append(shard.row())
-                shard = None
-            shard = shard or _Shard(folder, part, len(rows))
+                shard = _Shard(folder, part, shard.seq + 1 if shard.part == part else 0)
+            shard = shard or _Shard(folder, part, 0)
             shard.add(page, data)
     if shard:
         rows.append(shard.row())
@@ -105,27 +115,59 @@ def _written(batches, folder, file_bytes, smallest, level, date):
         yield pa.RecordBatch.from_pylist(rows, schema=_MANIFEST)
 
 
-def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url: str = "url", html: str = "html", file_bytes: int = FILE_BYTES, smallest: int = SMALLEST, level: int = 6, date: str = DATE) -> str:
+def _bounds(facts: DataFrame, shard_bytes: int) -> tuple[np.ndarray, int]:
+    """The first ids of all shards but the first, and the number of shards for rows without an id.
+
+    Taken from the ids whose hash is divisible by a number, which leaves some dozens of
+    them a shard: a function of the table, and at most ``_MOST * _EACH`` rows or so here.
+    """
+    known = F.col("page_id").isNotNull()
+    n, size, nulls = facts.agg(F.count("page_id"), F.coalesce(F.sum(F.when(known, F.col("bytes") + 1)), F.lit(0)), F.coalesce(F.sum(F.when(~known, F.col("bytes") + 1)), F.lit(0))).first()
+    shards = min(_MOST, max(_FEWEST, -(-(size + nulls) // shard_bytes)))
+    one = max(1.0, (size + nulls) / shards)
+    some = facts.where(known & (F.pmod(F.xxhash64("page_id"), F.lit(max(1, n // (shards * _EACH)))) == 0)).groupBy("page_id").agg(F.sum(F.col("bytes") + 1).alias("bytes")).toPandas().sort_values("page_id")
+    own = max(1, round(size / one))
+    before = some["bytes"].cumsum().to_numpy(dtype=float) - some["bytes"].to_numpy(dtype=float)
+    part = np.floor(before * own / max(float(some["bytes"].sum()), 1.0)).astype(np.int64)
+    return some["page_id"].to_numpy(dtype=np.int64)[np.flatnonzero(np.diff(part, prepend=0) > 0)], -(-nulls // int(one))
+
+
+def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url: str = "url", html: str = "html", file_bytes: int = FILE_BYTES, smallest: int = SMALLEST, level: int = 6, date: str = DATE, shard_bytes: int = SHARD_BYTES) -> str:
     """Write one record for each row in ascending id order; the folder, complete with its manifest.
 
     The payload is ``html`` in UTF-8 (null: empty). Of records with equal
     payloads of at least ``smallest`` bytes the smallest id is the response and
     the others revisit it; of repeated rows of that id the first one is. Rows
-    with a null id come first; they revisit a row that has an id, and are all
+    with a null id come first, dealt to shards of their own by a hash; they revisit a row that has an id, and are all
     responses among themselves. A null url becomes ``urn:page:<id>``. An
-    empty table gives an empty manifest.
+    empty table gives an empty manifest. Files have the same names and bytes in every run.
     """
     spark = pages.sparkSession
     folder = folder or f"{scratch_dir(spark)}/warc"
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    digests = slim.where(F.octet_length("html") >= smallest).select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
-    shared = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null").drop("n")
-    notes = digests.join(shared, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
-    notes = notes.select("page_id", F.lit(0).alias("tag"), "digest", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
-    rows = slim.select("page_id", F.lit(1).alias("tag"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"), "url", "html")
-    order = notes.unionByName(rows).repartitionByRange("page_id").sortWithinPartitions("page_id", "tag", "html", "url")
+    sha, none = F.unhex(F.sha2(F.col("html").cast("binary"), 256)), lambda kind: F.lit(None).cast(kind)
+    facts = stored(slim.select("page_id", F.octet_length("html").cast("long").alias("bytes"), F.when(F.octet_length("html") >= smallest, sha).alias("digest")), "digests")
+    bounds, null_shards = _bounds(facts, shard_bytes)
+    first = spark.sparkContext.broadcast(bounds)
+
+    @pandas_udf("int")
+    def shard_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(null_shards + np.searchsorted(first.value, ids.to_numpy(), side="right"))
+
+    shared = facts.where("digest is not null").groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null").drop("n")
+    notes = facts.where("page_id is not null").select("page_id", "digest").join(shared, "digest").where("page_id <> refers_to").distinct()
+    notes = notes.select("page_id", F.lit(0).alias("tag"), "digest", "refers_to", none("string").alias("url"), none("string").alias("html"))
+    rows = slim.where("page_id is not null").select("page_id", F.lit(1).alias("tag"), none("binary").alias("digest"), none("long").alias("refers_to"), "url", "html")
+    order = notes.unionByName(rows).select(shard_of("page_id").alias("shard"), "*")
+    if null_shards:  # equal rows are counted, so that they too can be dealt in one way only
+        nulls = slim.where("page_id is null").groupBy(sha.alias("digest"), "url").agg(F.first("html").alias("html"), F.count(F.lit(1)).alias("n"))
+        nulls = nulls.join(shared, "digest", "left").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+        shard = F.pmod(F.xxhash64("digest", "url", "nth"), F.lit(null_shards)).cast("int")
+        order = order.unionByName(nulls.select(shard.alias("shard"), none("long").alias("page_id"), F.lit(1).alias("tag"), "digest", "refers_to", "url", "html"))
+    order = order.repartition("shard").sortWithinPartitions("shard", "page_id", "tag", "html", "url")
     schema = "temporary string, name string, records long, bytes long, first_id long, last_id long, sha256 string"
     committed(order.mapInArrow(lambda it: _written(it, folder, file_bytes, smallest, level, date), schema), folder, format="WARC/1.1", date=date)
+    dropped(spark, facts)
     return folder
 
 
