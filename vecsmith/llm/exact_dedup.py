@@ -2,7 +2,7 @@
 
 Each normalised text is cut at sentence ends (content-defined boundaries). The
 64-bit identifier of a chunk is verified against the SHA-256 digests of all
-chunks that have it; the rare ambiguous ones are told apart by their texts, with an
+chunks that have it; the rare ambiguous ones are told apart by these, with an
 ordinal. Documents are then compared by their ordered identifier lists, so long
 texts never move.
 """
@@ -23,36 +23,33 @@ def chunks(text: Column, smallest: int = MIN_CHUNK, largest: int = MAX_CHUNK) ->
     return F.regexp_extract_all(text, F.lit(f"(?s).{{{smallest},{largest - 1}}}?{_ENDS}|.{{1,{largest}}}"), F.lit(0))
 
 
-def ambiguous_chunks(chunked: DataFrame, identify=F.xxhash64) -> DataFrame:
-    """(id, chunk, ordinal) of those chunk texts whose identifier other texts share; mostly empty."""
-    occurring = chunked.select(F.explode("_chunks").alias("chunk")).select(identify("chunk").alias("id"), "chunk")
-    digests = occurring.select("id", F.unhex(F.sha2(F.col("chunk").cast("binary"), 256)).alias("digest")).distinct()
+def _ambiguous_ids(listed: DataFrame) -> DataFrame | None:
+    """Identifiers that chunks of several digests have; mostly none."""
+    digests = listed.select(F.explode("_list").alias("c")).select("c.id", "c.digest").distinct()
     shared = stored(digests.groupBy("id").count().where("count > 1").select("id"), "shared")
-    if shared.isEmpty():
-        return None
-    texts = occurring.join(shared, "id", "left_semi").distinct()
-    return stored(texts.withColumn("ordinal", F.row_number().over(Window.partitionBy("id").orderBy("chunk"))), "ambiguous")
+    return None if shared.isEmpty() else shared
 
 
 def recipes(docs: DataFrame, text: str = "text", identify=F.xxhash64) -> DataFrame:
-    """``docs`` with ``_sha`` (SHA-256 of the normalised text) and ``_recipe`` (ordered chunk identifiers)."""
+    """A stored table of ``docs`` without its text, with ``_sha`` (SHA-256 of the normalised text) and ``_recipe`` (ordered chunk identifiers).
+
+    Texts are cut and digested once. Where an identifier has several digests, its chunks get
+    ordinals by digest, so that recipes are equal only for equal lists of chunks.
+    """
     norm = docs.withColumn("_norm", ascii_lower(F.col(text)))
-    chunked = norm.withColumn("_chunks", chunks(F.col("_norm")))
-    plain = chunked.withColumns({
-        "_sha": F.sha2(F.col("_norm").cast("binary"), 256),
-        "_recipe": F.transform("_chunks", lambda c: F.struct(identify(c).alias("id"), F.lit(0).alias("ordinal"))),
-    })
-    ambiguous = ambiguous_chunks(norm.select(chunks(F.col("_norm")).alias("_chunks")), identify)
-    if ambiguous is not None:
-        place = chunked.select(F.sha2(F.col("_norm").cast("binary"), 256).alias("_sha"), F.posexplode("_chunks").alias("pos", "chunk"))
-        place = place.withColumn("id", identify("chunk")).join(ambiguous, ["id", "chunk"])
-        fixes = place.distinct().groupBy("_sha").agg(F.map_from_entries(F.collect_list(F.struct("pos", "ordinal"))).alias("_fixes"))
-        plain = plain.join(fixes, "_sha", "left").withColumn(
-            "_recipe", F.transform("_recipe", lambda c, i: F.struct(c["id"].alias("id"), F.coalesce(F.try_element_at("_fixes", i), F.lit(0)).alias("ordinal")))
-        ).drop("_fixes")
-    # ordinals are all 0 unless identifiers collide; ids alone are then the recipe
-    key = F.transform("_recipe", lambda c: c["id"]) if ambiguous is None else F.col("_recipe")
-    return plain.withColumn("_recipe", key).drop("_norm", "_chunks")
+    each = lambda c: F.struct(identify(c).alias("id"), F.unhex(F.sha2(c.cast("binary"), 256)).alias("digest"))
+    listed = norm.withColumns({"_sha": F.unhex(F.sha2(F.col("_norm").cast("binary"), 256)), "_list": F.transform(chunks(F.col("_norm")), each)})
+    listed = stored(listed.drop("_norm", text), "listed", "lz4")
+    shared = _ambiguous_ids(listed)
+    if shared is None:
+        return listed.withColumn("_recipe", F.transform("_list", lambda c: c["id"])).drop("_list")
+    some = listed.select(F.explode("_list").alias("c")).select("c.id", "c.digest").join(shared, "id", "left_semi").distinct()
+    some = some.withColumn("ordinal", F.row_number().over(Window.partitionBy("id").orderBy("digest")))
+    # texts that hold such chunks, by place
+    place = listed.select("_sha", F.posexplode("_list").alias("pos", "c")).select("_sha", "pos", "c.id", "c.digest").join(some, ["id", "digest"]).select("_sha", "pos", "ordinal").distinct()
+    fixes = place.groupBy("_sha").agg(F.map_from_entries(F.collect_list(F.struct("pos", "ordinal"))).alias("_fixes"))
+    ordinal = lambda i: F.coalesce(F.try_element_at("_fixes", i), F.lit(0))
+    return listed.join(fixes, "_sha", "left").withColumn("_recipe", F.transform("_list", lambda c, i: F.struct(c["id"].alias("id"), ordinal(i).alias("ordinal")))).drop("_fixes", "_list")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep_columns: bool = False, identify=F.xxhash64) -> DataFrame:
@@ -66,8 +63,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", kee
     come along only with ``keep_columns``, packed in the struct ``row``.
     """
     slim = docs.select(F.col(id_col).alias(id_col), F.col(text).alias("_text"), *([F.struct(*docs.columns).alias("row")] if keep_columns else []))
-    listed = recipes(slim, "_text", identify).withColumnRenamed("_text", "_raw").drop("_raw")
-    listed = listed.withColumn("_key", F.xxhash64("_recipe"))
-    groups = listed.groupBy("_key", "_recipe").agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    found = listed.join(groups, ["_key", "_recipe"])
-    return found.select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_sha").alias("text_sha256"), *(["row"] if keep_columns else []))
+    listed = recipes(slim, "_text", identify).withColumn("_key", F.xxhash64("_recipe"))
+    groups = listed.groupBy("_key", "_recipe").agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    # stored, so that the join deals out both sides anew and a large group can be split
+    found = listed.join(stored(groups, "groups"), ["_key", "_recipe"], "left")
+    keep_id = F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id"))
+    found = found.withColumns({"keep_id": keep_id, "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
+    return found.select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"), *(["row"] if keep_columns else []))
