@@ -15,13 +15,13 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecsmith.llm.common import WORD, stored
+from vecsmith.llm.common import WORD, broadcast_if_small, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
 _UNIT = 1 << 30
-_CELLS = 256
-_TRIMMED = 64
+#: Running sums go over cells of about so many rows of a source, 256 cells at least.
+_CELL_ROWS, _CELLS = 20_000, 256
 
 
 def shared_targets(sizes: list[int], weights: list[float], total: float, cap: float) -> list[float]:
@@ -46,11 +46,12 @@ def _top(cap: float):
     return F.lit(cap) if cap == math.floor(cap) else F.when(F.col("size") > 0, F.floor(F.lit(cap) * F.col("size")) / F.col("size")).otherwise(F.lit(cap))
 
 
-def tilts(histogram: DataFrame, sources: list[dict], cap: float = CAP, tolerance: float = 1e-7, most: int = 60) -> list[float]:
+def tilts(histogram: DataFrame, sources: list[dict], cap: float = CAP, tolerance: float = 1e-7, most: int = 200) -> list[float]:
     """The dual variable of each source (infinite if its target takes all at the cap).
 
     ``histogram`` has (sid, size, n), which is all that the dual depends on; each
-    step sums rates and slopes over it on the executors, for all sources at once.
+    step sums rates and slopes over it on the executors, for all sources at once. Steps that leave a
+    variable's bracket halve it; should ``most`` steps not do, that is an error.
     """
     spark = histogram.sparkSession
     found = [math.inf if s["target"] >= s.get("most", cap * s["size"]) * (1 - 1e-12) else 0.0 for s in sources]
@@ -77,6 +78,8 @@ def tilts(histogram: DataFrame, sources: list[dict], cap: float = CAP, tolerance
             found[i] = step
             still.append(i)
         open_ = still
+    if open_:
+        raise RuntimeError(f"no tilt after {most} steps for sources {[sources[i]['sid'] for i in open_]}")
     return found
 
 
@@ -86,8 +89,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     Size is the number of words (null text: 0). Sources in code-point order, null
     last, get ``weights`` in turn and share ``share`` of all words; no target
     exceeds ``cap`` times its source. ``copies`` are whole copies, ``part`` the
-    words of one more, cut copy (negative: the words that one of them lacks), which at most
-    64 documents of a source have, and with a cap that is no whole number also those taken at the cap; ``taken = copies * size + part`` lies within 0 and ``cap`` sizes.
+    words of cut copies beyond them (negative: the words that these lack), which as many
+    documents of a source have as it takes to meet its target to the word, and with a cap that is no whole number also those taken at the cap; ``taken = copies * size + part`` lies within 0 and ``cap`` sizes.
     With ``trim=False`` there are only whole copies, so the cap must be a whole number. Documents without words have
     one copy of nothing. Repeated rows and null ids count as rows of their own; an empty
     table gives an empty result. Ties are ordered by a hash of the id, so reruns
@@ -108,8 +111,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     ids = spark.createDataFrame([(r["sid"], r["source"]) for r in rows], "sid int, _source string")
     lam = tilts(histogram.join(ids, F.col("source").eqNullSafe(F.col("_source"))).select("sid", "size", "n"), rows, cap)
     plan = spark.createDataFrame(
-        [(r["sid"], r["source"], r["size"], r["target"], lam[i] if math.isfinite(lam[i]) else None, r["size"] / max(r["rows"], 1) or 1.0) for i, r in enumerate(rows)],
-        "sid int, _source string, source_size long, target double, lam double, mean double",
+        [(r["sid"], r["source"], r["size"], r["target"], lam[i] if math.isfinite(lam[i]) else None, r["size"] / max(r["rows"], 1) or 1.0, max(_CELLS, -(-r["rows"] // _CELL_ROWS))) for i, r in enumerate(rows)],
+        "sid int, _source string, source_size long, target double, lam double, mean double, cells int",
     )
     rate = F.least(_top(cap), F.exp(F.least(F.coalesce(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0)), F.lit(50.0))))
     if cap != whole:  # one copy more stands for a cut one, up to the cap
@@ -120,7 +123,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     rated = rated.withColumns({
         "rate": F.round(rate * _UNIT).cast("long"),
         "band": F.floor(F.log2(F.col("size") + 1) * 2).cast("int"),
-        "cell": F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(_CELLS)).cast("int"),
+        "cell": F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.col("cells")).cast("int"),
         "order": order,
     })
     # running sums of rates in two levels: within a cell, and over a band's cells
@@ -135,14 +138,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     out = stored(rounded.select(id_col, "source", "size", "source_size", "target", "copies", "cut", "sid", "band", "cell", "nth", "order"), "rounded")
     if not trim:
         return out.withColumns({"part": F.lit(0).cast("long"), "taken": F.col("copies") * F.col("size")}).select(id_col, "source", "size", "source_size", "target", "copies", "part", "taken")
-    # what a source still lacks, or has too much, goes to the documents with most room
+    # what a source still lacks, or has too much, goes to its documents cell by cell, each as far as it has room
     got = out.groupBy("sid").agg(F.sum(F.col("copies") * F.col("size") + F.col("cut")).alias("got"), F.first("target").alias("_target"))
-    miss = got.select("sid", (F.round("_target").cast("long") - F.col("got")).alias("miss"))
+    miss = broadcast_if_small(stored(got.select("sid", (F.round("_target").cast("long") - F.col("got")).alias("miss")), "miss"))
     room = F.when(F.col("miss") > 0, F.floor(F.lit(cap) * F.col("size")).cast("long") - F.col("copies") * F.col("size") - F.col("cut")).otherwise(F.col("copies") * F.col("size") + F.col("cut"))
-    first = Window.partitionBy("sid").orderBy(F.desc("room"), "order", "band", "cell", "nth")
-    top = out.join(miss, "sid").withColumn("room", room).where("room > 0").withColumn("pick", F.row_number().over(first)).where(F.col("pick") <= _TRIMMED)
-    sofar = F.sum("room").over(first) - F.col("room")
-    part = F.greatest(F.lit(0), F.least(F.col("room"), F.abs(F.col("miss")) - sofar)) * F.signum("miss").cast("long")
-    parts = top.select("sid", "band", "cell", "nth", part.alias("part")).where("part <> 0")
+    roomy = out.join(miss, "sid").where("miss <> 0").withColumn("room", room).where("room > 0")
+    rooms = roomy.groupBy("sid", "cell").agg(F.sum("room").alias("in_cell"), F.first("miss").alias("miss"))
+    rooms = rooms.withColumn("base", F.sum("in_cell").over(Window.partitionBy("sid").orderBy("cell")) - F.col("in_cell")).where("base < abs(miss)").drop("miss")
+    picked = roomy.join(broadcast_if_small(stored(rooms, "rooms")), ["sid", "cell"])
+    sofar = F.sum("room").over(Window.partitionBy("sid", "cell").orderBy("order", "band", "nth").rowsBetween(Window.unboundedPreceding, 0)) - F.col("room")
+    part = F.greatest(F.lit(0), F.least(F.col("room"), F.abs(F.col("miss")) - F.col("base") - sofar)) * F.signum("miss").cast("long")
+    parts = broadcast_if_small(stored(picked.select("sid", "band", "cell", "nth", part.alias("part")).where("part <> 0"), "parts"))
     out = out.join(parts, ["sid", "band", "cell", "nth"], "left").withColumn("part", (F.coalesce("part", F.lit(0)) + F.col("cut")).cast("long"))
     return out.withColumn("taken", F.col("copies") * F.col("size") + F.col("part")).select(id_col, "source", "size", "source_size", "target", "copies", "part", "taken")
