@@ -20,7 +20,7 @@ from vecsmith.llm.common import stored, task
 LISTS, SCALE = 4, 256
 QUERY_BLOCK = 2048
 _HITS = "query_id long, vec_id long, score long"
-_EXACT = 2.0**52
+_EXACT, _EXACT_SINGLE = 2.0**52, 2.0**24
 
 
 def quantized(column, scale: int = SCALE):
@@ -50,8 +50,10 @@ def _runs(width: int, lists: int) -> list[slice]:
 
 
 def _scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Exact integer products: float64 where no sum can round, else Python integers."""
+    """Exact integer products: float32 or float64 where no sum can round, else Python integers."""
     most = np.abs(rows).max(initial=0) * np.abs(queries).max(initial=0) * max(rows.shape[1], 1)
+    if most < _EXACT_SINGLE:
+        return rows.astype(np.float32) @ queries.astype(np.float32).T
     if most < _EXACT:
         return rows @ queries.T
     return rows.astype(object).dot(queries.astype(object).T) if rows.size else np.zeros((len(rows), len(queries)))
@@ -65,8 +67,8 @@ def _scored(rows, queries):
     return np.array([sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for x, y in zip(rows, queries, strict=True)], dtype=object)
 
 
-def _hits(ids, qids, q, r, scores) -> pd.DataFrame:
-    return pd.DataFrame({"query_id": qids[q], "vec_id": ids[r], "score": np.array([int(s) for s in scores], dtype=np.int64) if scores.dtype == object else scores.astype(np.int64)})
+def _hits(ids, numbers, q, r, scores) -> pd.DataFrame:
+    return pd.DataFrame({"query_id": numbers[q], "vec_id": ids[r], "score": np.array([int(s) for s in scores], dtype=np.int64) if scores.dtype == object else scores.astype(np.int64)})
 
 
 def _best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -75,9 +77,9 @@ def _best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 @task
-def _local_lists(batches, qids, queries, lists, k):
+def _local_lists(batches, asked, lists, k):
     """Phase 1 in a task: the exact scores of each list's k best rows, and of them the k best a query."""
-    kept = None
+    (numbers, qids, queries), kept = asked.value, None
     for batch in batches:
         if batch.empty:
             continue
@@ -93,22 +95,28 @@ def _local_lists(batches, qids, queries, lists, k):
         q, r = at // len(ids), at % len(ids)
         other = qids[q] != ids[r]
         q, r = q[other], r[other]
-        found = _hits(ids, qids, q, r, _scored(rows[r], queries[q]))
+        found = _hits(ids, numbers, q, r, _scored(rows[r], queries[q]))
         kept = _best(found if kept is None else pd.concat([kept, found]), k)
     if kept is not None:
         yield kept
 
 
 @task
-def _above(batches, qids, queries, cutoff, lists, k):
-    """Phases 2 and 3 in a task: rows with a partial score of cutoff / lists in some list, then those whose sum reaches the cutoff."""
-    kept = None
+def _above(batches, asked, cutoffs, lists, k):
+    """Phases 2 and 3 in a task: rows with a partial score of cutoff / lists in some list, then those whose sum reaches the cutoff.
+
+    A row whose norm times the largest norm of a query stays below every cutoff is not looked at.
+    """
+    (numbers, qids, queries), cutoff, kept = asked.value, cutoffs.value, None
     runs = _runs(queries.shape[1], lists)
+    longest, least = np.sqrt((queries**2).sum(axis=1).max(initial=0.0)) * (1 + 1e-9), cutoff.min(initial=np.inf)
     share = cutoff / len(runs)
     for batch in batches:
         if batch.empty:
             continue
         ids, rows = batch["vec_id"].to_numpy(), _stack(batch, queries.shape[1])
+        may = np.sqrt((rows**2).sum(axis=1)) * longest >= least
+        ids, rows = ids[may], rows[may]
         for at in range(0, len(ids), 1024):
             some = slice(at, at + 1024)
             reach = np.zeros((len(ids[some]), len(qids)), bool)
@@ -118,7 +126,7 @@ def _above(batches, qids, queries, cutoff, lists, k):
             scores = _scored(rows[some][r], queries[q])
             enough = np.asarray(scores >= cutoff[q], dtype=bool)
             if enough.any():
-                found = _hits(ids[some], qids, q[enough], r[enough], scores[enough])
+                found = _hits(ids[some], numbers, q[enough], r[enough], scores[enough])
                 kept = _best(found if kept is None else pd.concat([kept, found]), k)
     if kept is not None:
         yield kept
@@ -134,25 +142,31 @@ def topk_search(base: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "
 
     All rows but those with the query's own id are candidates. Vectors that are
     null or hold null or non-finite components, and rows without an id, take no
-    part; shorter vectors count as padded with zeros; repeated ids are rows of
-    their own. Queries go in blocks of ``query_block``, the only thing broadcast;
+    part; shorter vectors count as padded with zeros. Repeated ids are rows of
+    their own, as candidates and as queries (each such query has its own k rows, under the same id).
+    Queries go in blocks of ``query_block``, which with their cutoffs are the only thing broadcast;
     a query without candidates has no row, and an empty table gives an empty result.
     """
     spark = base.sparkSession
     ready = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), quantized(F.col(vector), scale).alias("q")).where("vec_id is not null and q is not null")
-    rows, asked = ready(base), stored(ready(queries).dropDuplicates(["vec_id"]).orderBy("vec_id"), "queries")
+    rows = ready(base)
+    asked = stored(ready(queries).repartitionByRange("vec_id").sortWithinPartitions("vec_id").select(F.monotonically_increasing_id().alias("n"), "vec_id", "q"), "queries")
     width = rows.agg(F.max(F.size("q"))).first()[0] or 0
     count, done, after = asked.count(), None, None
     for _ in range(0, count, query_block):
-        block = (asked if after is None else asked.where(F.col("vec_id") > after)).orderBy("vec_id").limit(query_block).toPandas()
-        after = int(block["vec_id"].iloc[-1])
-        qids, matrix = block["vec_id"].to_numpy(), _matrix(block["q"].to_list(), width)
-        lists_ = rows.mapInPandas(lambda it, a=qids, b=matrix: _local_lists(it, a, b, lists, k), _HITS)
+        block = (asked if after is None else asked.where(F.col("n") > after)).orderBy("n").limit(query_block).toPandas()
+        after = int(block["n"].iloc[-1])
+        numbers = block["n"].to_numpy()
+        these = spark.sparkContext.broadcast((numbers, block["vec_id"].to_numpy(), _matrix(block["q"].to_list(), width)))
+        lists_ = rows.mapInPandas(lambda it, a=these: _local_lists(it, a, lists, k), _HITS)
         safe = _ranked(lists_, k).groupBy("query_id").agg(F.min("score").alias("cutoff"), F.count(F.lit(1)).alias("n")).toPandas()
-        cut = pd.Series(safe["cutoff"].where(safe["n"] >= k, -np.inf).to_numpy(dtype=float), index=safe["query_id"]).reindex(qids).fillna(-np.inf).to_numpy()
+        cut = pd.Series(safe["cutoff"].where(safe["n"] >= k, -np.inf).to_numpy(dtype=float), index=safe["query_id"]).reindex(numbers).fillna(-np.inf).to_numpy()
         # beyond 2**52 a float may have been rounded up: step below it
-        cut = np.where(np.abs(cut) < _EXACT, cut, np.nextafter(cut, -np.inf))
-        hits = rows.mapInPandas(lambda it, a=qids, b=matrix, c=cut: _above(it, a, b, c, lists, k), _HITS)
-        part = stored(_ranked(hits, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "hits")
+        cuts = spark.sparkContext.broadcast(np.where(np.abs(cut) < _EXACT, cut, np.nextafter(cut, -np.inf)))
+        hits = _ranked(rows.mapInPandas(lambda it, a=these, c=cuts: _above(it, a, c, lists, k), _HITS), k)
+        names = F.broadcast(asked.where(F.col("n").between(int(numbers[0]), after)).select("n", F.col("vec_id").alias("asked")))  # a block
+        part = stored(hits.join(names, F.col("query_id") == F.col("n")).select(F.col("asked").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "hits")
         done = part if done is None else done.unionByName(part)
+        these.unpersist()
+        cuts.unpersist()
     return done if done is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
