@@ -56,8 +56,8 @@ class _Words:
         lower, script = _characters()
         points = [np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32) for t in texts]
         sizes = np.array([len(p) + 1 for p in points])
-        flat = np.zeros(int(sizes.sum()) + 1, np.uint32)  # a gap after each text
-        self.text_at = np.cumsum(sizes) - sizes
+        flat = np.zeros(int(sizes.sum()) + 2, np.uint32)  # a gap before the first text and after each
+        self.text_at = np.cumsum(sizes) - sizes + 1
         for at, p in zip(self.text_at, points, strict=True):
             flat[at : at + len(p)] = p
         self.low = lower[flat]
