@@ -123,3 +123,58 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 99), (99, 98), (5, 5), (50, 41), (41, 40), (98, 100)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in [*range(42), 50]}, 98: 98, 99: 98, 100: 98}
+
+
+def near_copies(n, seed=3):
+    import random
+
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(4000)}" for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, n):
+        w = list(rng.choice(rows)[1].split()) if rng.random() < 0.3 else list(base)
+        for _ in range(rng.randrange(1, 9)):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(3)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("width,percent", [(4, 85), (5, 80)])
+def test_jaccard_dealt(spark, monkeypatch, width, percent):
+    """A large group and long lists, dealt over many small cells."""
+    from vecsmith.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "_CELL", 20)
+    monkeypatch.setattr(J, "_LIST", 12)
+    rows = near_copies(260, 5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert collections.Counter(map(tuple, jaccard_join(df, width=width, percent=percent).collect())) == groups_want(rows, width, percent)
+
+
+def test_jaccard_pairs_stay_few(spark, monkeypatch):
+    """What is emitted grows with the rows of a group, not with their square."""
+    from vecsmith.llm import jaccard_join as J
+
+    seen = []
+    whole = J._answers
+    monkeypatch.setattr(J, "_answers", lambda pairs, *a: (seen.append(pairs.count()), whole(pairs, *a))[1])
+    rows = near_copies(400, 6)
+    J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), width=5, percent=80).count()
+    assert seen[0] < 4 * len(rows)
+
+
+def test_very_long_texts(spark):
+    """Texts of some megabytes, two of them alike but for a few words, with a shared passage."""
+    import random
+
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]
+    other = list(words)
+    for _ in range(50):
+        other[rng.randrange(len(other))] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[1000:1050])), (4, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in jaccard_join(df).collect()} == set(groups_want(rows, 4, 85))
+    got = substring_dedup(df).drop("removed").collect()
+    assert collections.Counter(map(tuple, got)) == spans_want(rows, 35)
+    assert collections.Counter(map(tuple, exact_dedup(df).collect())) == exact_want(rows)

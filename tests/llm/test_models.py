@@ -135,6 +135,132 @@ def test_topk_few(spark):
     assert topk_search(none, none).count() == 0
 
 
+def test_topk_repeated_queries(spark):
+    """Rows that repeat a query id are queries of their own, in one block or several."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).astype(np.float32).tolist(), "", 0) for i in range(60)]
+    twice = [(50, rng.normal(size=6).astype(np.float32).tolist(), "", 0), (50, rows[50][1], "", 0)]
+    df = spark.createDataFrame(rows + twice, VECTORS).repartition(3)
+    want = collections.Counter()
+    every = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v, *_ in rows + twice]
+    for i, v in every:
+        if i == 50:
+            scored = sorted((-int(v @ w), j) for j, w in every if j != i)
+            want.update((i, n + 1, j, -s) for n, (s, j) in enumerate(scored[:5]))
+    for block in (2048, 2, 1):
+        got = topk_search(df, df.where("vec_id = 50"), query_block=block)
+        assert collections.Counter(tuple(r) for r in got.collect()) == want
+
+
+def test_topk_norms(spark):
+    """Rows too short to reach any cutoff are passed over; the answers are those of brute force."""
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=8) * (0.01 if i % 3 else 1)).astype(np.float32).tolist(), "", 0) for i in range(400)]
+    df = spark.createDataFrame(rows, VECTORS).repartition(5)
+    got = topk_search(df, df.where("vec_id % 50 = 0"))
+    assert {tuple(r) for r in got.collect()} == topk_want(rows, 5, lambda i: i % 50 == 0)
+
+
+def dual(sizes, target, cap=2.0):
+    """The tilt by bisection, in plain Python: rates exp(l * size / mean) up to the cap add up to the target."""
+    import math
+
+    mean = sum(sizes) / len(sizes)
+    rate = lambda tilt, s: min(cap, math.exp(min(tilt * s / mean, 50.0))) if s else 1.0
+    low, high = -1000.0, 1000.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(s * rate(mid, s) for s in sizes) < target else (low, mid)
+    return [rate(high, s) for s in sizes]
+
+
+def test_tilts_and_copies_against_bisection(spark):
+    """Rates by an independent solution of the dual; copies are those rates rounded within classes of size."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * int(rng.lognormvariate(3, 1))), "abcd"[min(3, int(rng.expovariate(1)))]) for i in range(3000)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6), trim=False).collect()
+    sources = sorted({r[2] for r in rows})
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in sources}
+    total = 1.5 * sum(sizes.values())
+    weight = dict(zip(sources, (5, 2, 1, 5), strict=True))
+    # water filling by bisection on the level
+    low, high = 0.0, total
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(2 * sizes[s], mid * weight[s]) for s in sources) < total else (low, mid)
+    for s in sources:
+        own = [r for r in got if r.source == s]
+        target = min(2 * sizes[s], high * weight[s])
+        assert own[0].target == pytest.approx(target, rel=1e-6)
+        rates = dual([r.size for r in own], target)
+        bands = collections.defaultdict(lambda: [0.0, 0])
+        for r, rate in zip(own, rates, strict=True):
+            if r.size:
+                band = bands[int(np.floor(np.log2(r.size + 1) * 2))]
+                band[0] += rate
+                band[1] += r.copies
+                assert np.floor(rate - 1e-6) <= r.copies <= np.ceil(rate + 1e-6)
+        assert all(abs(a - b) <= 1.0 for a, b in bands.values())
+
+
+def test_mix_misses_of_any_size(spark, monkeypatch):
+    """However much rounding has missed, and with one row a cell or all rows in one, targets are met to the word."""
+    from vecsmith.llm import mixing
+
+    docs = spark.createDataFrame([(i, "w " * (1 + (i * 37) % 90), "ab"[i % 5 == 0]) for i in range(2000)], "doc_id long, text string, source string")
+    for cells, rows in ((1, 10**9), (256, 1)):
+        monkeypatch.setattr(mixing, "_CELLS", cells)
+        monkeypatch.setattr(mixing, "_CELL_ROWS", rows)
+        monkeypatch.setattr(mixing, "_UNIT", 2)  # coarse rates: large misses
+        got = mix(docs).collect()
+        for s in "ab":
+            own = [r for r in got if r.source == s]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= 1
+        assert all(0 <= r.taken <= 2 * r.size for r in got) and len(got) == 2000
+
+
+def test_tilts_do_not_end_early(spark):
+    from vecsmith.llm.mixing import tilts
+
+    histogram = spark.createDataFrame([(0, s, 3) for s in range(1, 50)], "sid int, size long, n long")
+    source = [{"sid": 0, "size": 3 * sum(range(1, 50)), "rows": 147, "target": 5000.0}]
+    with pytest.raises(RuntimeError):
+        tilts(histogram, source, most=1)
+
+
+def test_word_scores_by_hand(spark):
+    """Scores from n-grams counted in plain Python, with the languages that a word's script leaves."""
+    from vecsmith.llm import language_id as L
+
+    texts = {"en": ["the cat and the hat", "that then"], "de": ["der hut und die katze", "dann"], "el": ["και το", "των"]}
+    rows = [(i, t, x, None, 0) for i, (x, t) in enumerate((x, t) for x, own in texts.items() for t in own)]
+    model = train(spark.createDataFrame(rows, SCHEMA))
+    languages = sorted(texts)
+
+    def grams(word):
+        w = "\0" + word + "\0"
+        for order, n in enumerate(L.ORDERS):
+            for i in range(len(w) - n + 1):
+                if n == 1 and w[i] == "\0":
+                    continue
+                h = n
+                for c in w[i : i + n]:
+                    h = (h * 0x100000001B3 + ord(c)) & (2**64 - 1)
+                yield order, int(L.mix(np.array([h], np.uint64))[0]) & (L.BUCKETS - 1)
+
+    counts = {x: collections.Counter(g for t in own for w in t.split() for g in grams(w)) for x, own in texts.items()}
+    log = lambda x, g: np.log((counts[x][g] + 0.5) / (sum(n for (o, _), n in counts[x].items() if o == g[0]) + 0.5 * L.BUCKETS))
+    for word in ("then", "katze", "hut", "το"):
+        want = np.array([sum(log(x, g) for g in grams(word)) for x in languages])
+        greek = word == "το"
+        allowed = np.array([(x == "el") == greek for x in languages])
+        best = want.argmax()
+        got = model.word_scores(L._Words([word]))[0]
+        assert np.allclose(got[allowed], (want - want[best])[allowed], atol=1e-3) and (got[~allowed] < -1e3).all()
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, duck, name):
     got, want = QUERIES[name](spark, DATA).toPandas(), duck.execute(ORACLES[name]).df()

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecsmith.llm.common import batches_of_rows, mix, signed, stored, task, window_hashes, word_hashes
+from vecsmith.llm.common import batches_of_rows, mix, scratch_removed, signed, stored, task, window_hashes, word_hashes
 from vecsmith.llm.components import components
 
 WORDS, PERCENT = 4, 85
@@ -386,8 +386,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     themselves. Rows with a null id link with nothing (component null); rows
     that repeat an id are one document; an empty table gives an empty result.
     """
-    known, links = jaccard_links(docs, id_col, text, width, percent)
-    found = components(links)
+    spark = docs.sparkSession
+    with scratch_removed(spark) as keep:
+        known, links = jaccard_links(docs, id_col, text, width, percent)
+        found = components(links)
+        known = stored(known, "nodes")
+        keep += [known, found]
     out = known.join(found, "node", "left")
     root = F.coalesce("root", "node", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), root).alias("component_id"))
