@@ -100,10 +100,11 @@ def test_jdbc_table(spark, tmp_path):
         pytest.skip("no embedded database here")
     url = f"jdbc:derby:{tmp_path}/db;create=true"
     t = JdbcTable(spark, url, "FILES", "ID", driver="org.apache.derby.jdbc.EmbeddedDriver", createTableColumnTypes="ID VARCHAR(64), KIND VARCHAR(16)")
-    t.put(spark.createDataFrame([("a", "txt", bytearray(b"one"), 3), ("b", None, bytearray(b"two"), 4)], "ID string, KIND string, CONTENT binary, SIZE long"))
+    t.put(spark.createDataFrame([("a", "txt", bytearray(b"one"), 3), ("b", "md", bytearray(b"two"), 4)], "ID string, KIND string, CONTENT binary, SIZE long"))
     assert t.rows().count() == 2 and bytes(t.get("a").first().CONTENT) == b"one"
     assert t.update("a", KIND="md", SIZE=9) and not t.update("x", KIND="md") and not t.update("a")
-    assert t.search({"KIND": "md"}).first().SIZE == 9 and t.search({"KIND": None}).first().ID == "b"
+    assert t.search({"KIND": "md", "SIZE": 9}).first().ID == "a" and t.update("b", KIND=None)
+    assert t.search({"KIND": None}).first().ID == "b" and t.search({"KIND": None}, null_safe=False).count() == 0 and t.search().count() == 2
     with pytest.raises(ValueError):
         t.update("a", **{"KIND = 1 --": "x"})
     assert t.delete("a") and not t.delete("a") and t.rows().count() == 1
