@@ -75,6 +75,12 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
         _deleted(spark, folder)
 
 
+def cleared(spark: SparkSession) -> None:
+    """Delete all scratch tables of this process that are left, e.g. those of built indexes, before the session ends."""
+    for folder in list(_MADE):
+        _deleted(spark, folder)
+
+
 @contextlib.contextmanager
 def scratch_removed(spark: SparkSession):
     """At its end, the scratch tables made within it are deleted, but for those that are read by the frames put into the list it gives."""
