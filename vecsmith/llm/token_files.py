@@ -154,7 +154,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     with small_batches(spark):
         tied = slim.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-        raw = stored(tied.mapInArrow(lambda it: _tokenized(it, tokenizer, end_id), _RAW), "raw", "lz4")
+        raw = stored(tied.mapInArrow(lambda it: _tokenized(it, tokenizer, end_id), _RAW), "raw")
     dtype = segment_ids(tokenizer).dtype
     counts = raw.where("counts is not null").select("counts").mapInArrow(_summed, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     by_rank = [r["id"] for r in counts.orderBy(F.desc("n"), "id").collect()]  # at most the vocabulary
