@@ -1,4 +1,9 @@
-"""Inverted cells: rows by nearest centroid, queries joined with their nearest cells."""
+"""Inverted cells: rows by nearest centroid, each compared with the queries that probe its cell.
+
+Queries go in blocks to the rows. A task takes its rows cell by cell, multiplies those of a cell with
+the block's queries that probe it, passes over what cannot be among the k rows it has of a query, and
+scores the rest exactly.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +15,12 @@ from pyspark.sql.functions import pandas_udf
 
 from vecsmith.functions.distance import metric as metric_of
 from vecsmith.operators.kmeans import kmeans, nearest_cell
-from vecsmith.operators.search import matrix, scores, top_k
+from vecsmith.operators.search import HITS, Block, checked, in_blocks, matrix, scores, top_k
+
+_ROWS = 1024
+_PAIRS = 1 << 16
+#: What rounding may hide of a product of two vectors, as a share of the sum of their squared norms.
+_SLACK = 1e-9
 
 
 class InvertedCells:
@@ -60,24 +70,122 @@ class InvertedCells:
 
         return rows.withColumn("list_id", cell(vector))
 
+    def _nearest(self, queries: np.ndarray) -> np.ndarray:
+        """The ``nprobe`` nearest cells of each query, in order."""
+        near = np.nan_to_num(scores(queries, self._trained(), self.metric), nan=-np.inf)
+        return np.argsort(near if metric_of(self.metric).ascending else -near, axis=1, kind="stable")[:, : self.nprobe]
+
     def probes(self, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
         """(query_id, q, list_id) for the ``nprobe`` nearest cells of each query."""
-        centroids, n, metric = self._trained(), min(self.nprobe, len(self._trained())), self.metric
-        ascending = metric_of(metric).ascending
+        n = min(self.nprobe, len(self._trained()))
 
         def nearest(batches):
             for b in batches:
                 if len(b):
-                    near = np.nan_to_num(scores(matrix(b["q"]), centroids, metric), nan=-np.inf)
-                    order = np.argsort(near if ascending else -near, axis=1, kind="stable")[:, :n]
+                    order = self._nearest(matrix(b["q"]))
                     yield pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), n), "q": b["q"].repeat(n).to_numpy(), "list_id": order.ravel().astype(np.int32)})
 
-        asked = queries.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.col(vector).cast("array<float>").alias("q"))
-        return asked.mapInPandas(nearest, "query_id long, q array<float>, list_id int")
+        return self._asked(queries, id_col, vector).mapInPandas(nearest, "query_id long, q array<float>, list_id int")
+
+    def _asked(self, queries: DataFrame, id_col: str, vector: str) -> DataFrame:
+        return queries.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.col(vector).cast("array<float>").alias("q"))
 
     def search(self, assigned: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-        """(query_id, rank, vec_id, score): exact scores within the probed cells; tasks keep k rows a query."""
-        kind = metric_of(self.metric)
-        pairs = self.probes(queries, id_col, vector).join(assigned, "list_id")
-        scored = pairs.select("query_id", "vec_id", kind.expression("vector", "q").alias("score")).where("score is not null and not isnan(score)")
-        return top_k(scored, k, kind.ascending).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        """(query_id, rank, vec_id, score): exact scores within the probed cells; tasks keep k rows a query.
+
+        Rows that repeat a query id share its k rows.
+        """
+        checked(k)
+        ascending, cells = metric_of(self.metric).ascending, len(self._trained())
+
+        def answers(batches, block):
+            return _answers(batches, block.value, self._nearest(block.value.vectors), cells, k, self.metric)
+
+        def reached(block: Block):
+            some = np.unique(self._nearest(block.vectors))
+            return F.lit(True) if len(some) == cells else F.col("list_id").isin(some.tolist())
+
+        def best(hits: DataFrame) -> DataFrame:
+            return top_k(hits, k, ascending).select("query_id", "vec_id", "score")
+
+        rows = assigned.where("vector is not null and list_id is not null").select("vec_id", "vector", "list_id")
+        found = in_blocks(rows, self._asked(queries, id_col, vector), answers, HITS, best, reached=reached)
+        return top_k(found, k, ascending).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _exact(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
+    """The score of each pair, summed in the order of the components, so that equal vectors tie wherever they lie."""
+
+    def summed(x: np.ndarray) -> np.ndarray:
+        return x.cumsum(axis=1)[:, -1]
+
+    if metric == "l2":
+        return summed((rows - queries) ** 2)
+    dot = summed(rows * queries)
+    if metric == "ip":
+        return dot
+    norms = np.sqrt(summed(rows**2)) * np.sqrt(summed(queries**2))
+    cosine = np.divide(dot, norms, out=np.full_like(dot, np.nan), where=norms > 0)
+    return cosine if metric == "cosine" else np.sqrt(np.maximum(0.0, 2.0 * (1.0 - cosine)))
+
+
+def _cut(hits: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
+    """The k first of each query of (query, key, id, score), by key, then id; in order."""
+    order = np.lexsort((hits[2], hits[1], hits[0]))
+    q = hits[0][order]
+    first = np.flatnonzero(np.diff(q, prepend=-1))
+    nth = np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q)))
+    return tuple(x[order[nth < k]] for x in hits)
+
+
+def _answers(batches, block: Block, probed: np.ndarray, cells: int, k: int, metric: str):
+    """``HITS`` of a task's rows (vec_id, vector, list_id) with the block's queries that probe their cells."""
+    ascending, queries = metric_of(metric).ascending, block.vectors
+    known = ~np.isnan(queries).any(axis=1)  # others score with nothing
+    probes = np.zeros((cells, len(queries)), bool)
+    probes[probed, np.arange(len(queries))[:, None]] = True
+    asking = [np.flatnonzero(p & known) for p in probes]
+    unit = metric in ("cosine", "angular")
+
+    def prepared(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors to multiply and their squared norms."""
+        size = (x**2).sum(axis=1)
+        return (x / np.sqrt(size)[:, None], np.where(size > 0, 1.0, np.nan)) if unit else (x, size)
+
+    def least(mine: np.ndarray, size: np.ndarray, theirs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Queries by rows: lower bounds of the keys (of the negative cosine for angles); NaN where there are none."""
+        both, dot = sizes[:, None] + size[None, :], theirs @ mine.T
+        return (1 - _SLACK) * both - 2.0 * dot if metric == "l2" else -_SLACK * both - dot
+
+    with np.errstate(all="ignore"):
+        theirs, sizes = prepared(queries)
+        most = np.full(len(queries), np.inf)  # the bound of each query: the key of its k-th row
+        best, more, waiting = None, [], 0
+        for batch in batches:
+            for cell, at in batch.groupby("list_id").indices.items():
+                some = asking[cell]
+                for of in range(0, len(at) if len(some) else 0, _ROWS):
+                    rows, ids = matrix(batch["vector"].iloc[at[of : of + _ROWS]]), batch["vec_id"].to_numpy()[at[of : of + _ROWS]]
+                    whole = ~np.isnan(rows).any(axis=1)
+                    rows, ids = rows[whole], ids[whole]
+                    if not len(ids):
+                        continue
+                    mine, size = prepared(rows)
+                    low, bound = least(mine, size, theirs[some], sizes[some]), most[some]
+                    if len(ids) > k and np.isinf(bound).any():
+                        # k rows lie below this
+                        bound = np.fmin(bound, np.partition(low, k - 1, axis=1)[:, k - 1] + 4 * _SLACK * (sizes[some] + np.fmax.reduce(size)))
+                    q, r = np.nonzero(~(low > bound[:, None]))
+                    score = np.concatenate([np.zeros(0), *(_exact(rows[r[i : i + _PAIRS]], queries[some[q[i : i + _PAIRS]]], metric) for i in range(0, len(q), _PAIRS))])
+                    there = ~np.isnan(score)
+                    new = (some[q[there]], score[there] if ascending else -score[there], ids[r[there]], score[there])
+                    more.append(_cut(new, k))
+                    waiting += len(more[-1][0])
+                    if waiting >= len(queries) * k // 2:
+                        best, more, waiting = _cut(tuple(np.concatenate(x) for x in zip(*([best] if best else []), *more, strict=True)), k), [], 0
+                        full = np.flatnonzero(np.bincount(best[0], minlength=len(queries)) == k)
+                        last = best[1][np.searchsorted(best[0], full, side="right") - 1]
+                        most[full] = last**2 / 2 - 1 if metric == "angular" else last
+        if best or more:
+            q, _, ids, score = _cut(tuple(np.concatenate(x) for x in zip(*([best] if best else []), *more, strict=True)), k)
+            yield block.named(pd.DataFrame({"q": q, "vec_id": ids, "score": score}))[["vec_id", "score", "n", "query_id"]]
