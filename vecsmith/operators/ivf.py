@@ -108,7 +108,7 @@ class InvertedCells:
         def best(hits: DataFrame) -> DataFrame:
             return top_k(hits, k, ascending).select("query_id", "vec_id", "score")
 
-        rows = assigned.where("vector is not null and list_id is not null").select("vec_id", "vector", "list_id")
+        rows = assigned.where("vector is not null").select("vec_id", "vector", "list_id")
         found = in_blocks(rows, self._asked(queries, id_col, vector), answers, HITS, best, reached=reached)
         return top_k(found, k, ascending).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -163,7 +163,7 @@ def _answers(batches, block: Block, probed: np.ndarray, cells: int, k: int, metr
         best, more, waiting = None, [], 0
         for batch in batches:
             for cell, at in batch.groupby("list_id").indices.items():
-                some = asking[cell]
+                some = asking[int(cell)]
                 for of in range(0, len(at) if len(some) else 0, _ROWS):
                     rows, ids = matrix(batch["vector"].iloc[at[of : of + _ROWS]]), batch["vec_id"].to_numpy()[at[of : of + _ROWS]]
                     whole = ~np.isnan(rows).any(axis=1)
