@@ -71,6 +71,16 @@ def test_no_pairs(data):
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_placed_once(data):
+    """A condition on the cells that a block reaches does not work out a row's cell again."""
+    x, df = data
+    index = InvertedCells(5, 1, centroids=x[:5].astype(float))
+    found = index.search(index.assign(df), df.where("vec_id = 100"), 4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "list_id" in plan and plan.count("ArrowEvalPython") == 1
+    assert [r.vec_id for r in found.where("rank = 1").collect()] == [100]
+
+
 @pytest.mark.parametrize("metric", ["l2", "ip"])
 def test_collection(spark, data, tmp_path, metric):
     """Collections search their cells so too, and read those that a block's queries probe."""
@@ -92,7 +102,7 @@ def test_collection(spark, data, tmp_path, metric):
     np.testing.assert_allclose([r[1] for r in got], [r[3] for r in want], rtol=1e-12)
 
 
-@pytest.mark.parametrize("name", ["collection_ip_search", "collection_l2_search", "ivf_full_probe"])
+@pytest.mark.parametrize("name", ["collection_ip_search", "collection_l2_search", "ivf_full_probe", "ivf_search"])
 def test_query_without_pairs(spark, name):
     """No query is joined with the rows of its cells, so that work does not go through a row for each pair."""
     from vecsmith.queries import QUERIES

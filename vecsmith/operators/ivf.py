@@ -68,7 +68,8 @@ class InvertedCells:
                 out[some] = nearest_cell(matrix(vectors[some]), centroids)
             return pd.Series(out)
 
-        return rows.withColumn("list_id", cell(vector))
+        # else a condition on the cell would go below this and work it out a second time
+        return rows.withColumn("list_id", cell.asNondeterministic()(vector))
 
     def _nearest(self, queries: np.ndarray) -> np.ndarray:
         """The ``nprobe`` nearest cells of each query, in order."""
