@@ -102,7 +102,7 @@ def test_collection(spark, data, tmp_path, metric):
     np.testing.assert_allclose([r[1] for r in got], [r[3] for r in want], rtol=1e-12)
 
 
-@pytest.mark.parametrize("name", ["collection_ip_search", "collection_l2_search", "ivf_full_probe", "ivf_search"])
+@pytest.mark.parametrize("name", ["collection_ip_search", "collection_l2_search", "ivf_full_probe", "ivf_search", "ivf_trained"])
 def test_query_without_pairs(spark, name):
     """No query is joined with the rows of its cells, so that work does not go through a row for each pair."""
     from vecsmith.queries import QUERIES
