@@ -46,6 +46,7 @@ def test_as_joined(data, monkeypatch, metric, nprobe, block, pieces):
     assigned = index.assign(df).cache()
     want = [tuple(r) for r in joined(index, assigned, df, 6)]
     got = flat(index.search(assigned, df, 6).collect())
+    assigned.unpersist()
     assert [r[:3] for r in got] == [r[:3] for r in want]
     np.testing.assert_allclose([r[3] for r in got], [r[3] for r in want], rtol=1e-12, atol=1e-12)
 
