@@ -1,14 +1,16 @@
 """Inverted cells: searches in blocks give what a join of all queries with the rows of their cells gives."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from vecsmith.functions.distance import metric as metric_of
 from vecsmith.operators import ivf
+from vecsmith.operators import search as search_module
 from vecsmith.operators.collection import Collections
 from vecsmith.operators.ivf import InvertedCells
-from vecsmith.operators.search import in_blocks, top_k
+from vecsmith.operators.search import Block, in_blocks, top_k
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -72,6 +74,35 @@ def test_no_pairs(data):
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_nearer_cells_later(monkeypatch, metric):
+    """Where each cell is nearer than those before it, at most 2 k of a cell's rows a query are scored exactly, not all."""
+    k, n, x = 3, 200, np.random.default_rng(5).normal(size=(800, 4))
+    x += 40.0 * (3 - np.arange(800) // n)[:, None] * (1 if metric == "l2" else -1)
+    queries = np.random.default_rng(6).normal(size=(30, 4)) + (0 if metric == "l2" else 40)
+    scored, exact = [], ivf._exact
+    monkeypatch.setattr(ivf, "_exact", lambda rows, *a: scored.append(len(rows)) or exact(rows, *a))
+    batch = pd.DataFrame({"vec_id": np.arange(800), "vector": list(x), "list_id": np.arange(800) // n})
+    found = pd.concat(ivf._answers([batch], Block(np.arange(30), np.arange(30), queries), np.tile(np.arange(4), (30, 1)), 4, k, metric))
+    score = ((x[None] - queries[:, None]) ** 2).sum(axis=2) if metric == "l2" else -queries @ x.T
+    assert found.groupby("query_id")["vec_id"].apply(list).tolist() == np.argsort(score, axis=1)[:, :k].tolist()
+    assert sum(scored) <= 2 * k * 4 * 30
+
+
+def test_stored_once(data, monkeypatch):
+    """Several blocks of queries read rows that were placed once."""
+    x, df = data
+    names, real = [], search_module.stored
+    monkeypatch.setattr(search_module, "stored", lambda table, name="table", **o: names.append(name) or real(table, name, **o))
+    monkeypatch.setattr(ivf, "in_blocks", lambda *a, **o: in_blocks(*a, **o, query_block=50))
+    index = InvertedCells(5, 2, centroids=x[:5].astype(float))
+    index.search(index.assign(df), df, 4)
+    assert names == ["queries", "rows"]
+    names.clear()
+    index.search(index.assign(df), df, 4, written=True)
+    assert names == ["queries"]
+
+
 def test_placed_once(data):
     """A condition on the cells that a block reaches does not work out a row's cell again."""
     x, df = data

@@ -330,7 +330,7 @@ class Collections:
             for p in paths[1:]:
                 cells = cells.unionByName(p)
             cells = cells.where(keep) if mode == "pre" else cells
-            found = self._cells(m).search(cells.where("vector is not null").select(F.col("seq").alias("vec_id"), "vector", "list_id"), asked, k, "seq", "vector")
+            found = self._cells(m).search(cells.where("vector is not null").select(F.col("seq").alias("vec_id"), "vector", "list_id"), asked, k, "seq", "vector", written=True)
         elif m["index"] in ("hnsw", "annoy") and mode != "pre":
             built = self._method(m["metric"], m["index"], m["options"]).load(self.spark, f"{self.store.root}/{name}/{m['built']}")
             newer = self._read(name, [p for p in m["parts"] if p not in m["covers"]]).where("vector is not null")

@@ -15,9 +15,9 @@ from pyspark.sql.functions import pandas_udf
 
 from vecsmith.functions.distance import metric as metric_of
 from vecsmith.operators.kmeans import kmeans, nearest_cell
-from vecsmith.operators.search import HITS, Block, checked, in_blocks, matrix, scores, top_k
+from vecsmith.operators.search import HITS, Block, checked, in_blocks, matrix, scores, spread, top_k
 
-_ROWS = 1024
+_ROWS, _QUERIES = 1024, 256
 _PAIRS = 1 << 16
 #: What rounding may hide of a product of two vectors, as a share of the sum of their squared norms.
 _SLACK = 1e-9
@@ -55,7 +55,7 @@ class InvertedCells:
     def assign(self, base: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
         """(vec_id, vector, list_id) of each row that has a vector."""
         rows = base.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"))
-        return self.placed(rows, "vector")
+        return self.placed(spread(rows), "vector")
 
     def placed(self, rows: DataFrame, vector: str) -> DataFrame:
         """``rows`` with ``list_id``; 0 where there is no vector."""
@@ -91,10 +91,11 @@ class InvertedCells:
     def _asked(self, queries: DataFrame, id_col: str, vector: str) -> DataFrame:
         return queries.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.col(vector).cast("array<float>").alias("q"))
 
-    def search(self, assigned: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    def search(self, assigned: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", written: bool = False) -> DataFrame:
         """(query_id, rank, vec_id, score): exact scores within the probed cells; tasks keep k rows a query.
 
-        Rows that repeat a query id share its k rows.
+        Rows that repeat a query id share its k rows. A table ``written`` by cell is read for each block of queries as it
+        lies; other rows are stored before the first of several.
         """
         checked(k)
         ascending, cells = metric_of(self.metric).ascending, len(self._trained())
@@ -110,7 +111,7 @@ class InvertedCells:
             return top_k(hits, k, ascending).select("query_id", "vec_id", "score")
 
         rows = assigned.where("vector is not null").select("vec_id", "vector", "list_id")
-        found = in_blocks(rows, self._asked(queries, id_col, vector), answers, HITS, best, reached=reached)
+        found = in_blocks(rows, self._asked(queries, id_col, vector), answers, HITS, best, reached=reached, store=not written)
         return top_k(found, k, ascending).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -153,13 +154,17 @@ def _answers(batches, block: Block, probed: np.ndarray, cells: int, k: int, metr
         size = (x**2).sum(axis=1)
         return (x / np.sqrt(size)[:, None], np.where(size > 0, 1.0, np.nan)) if unit else (x, size)
 
-    def least(mine: np.ndarray, size: np.ndarray, theirs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Queries by rows: lower bounds of the keys (of the negative cosine for angles); NaN where there are none."""
-        both, dot = sizes[:, None] + size[None, :], theirs @ mine.T
-        return (1 - _SLACK) * both - 2.0 * dot if metric == "l2" else -_SLACK * both - dot
+    # with the norms as two more components, one product of queries and rows gives lower bounds of the keys (of the
+    # negative cosine for angles); NaN where there are none
+    times, share = (-2.0, 1 - _SLACK) if metric == "l2" else (-1.0, -_SLACK)
+
+    def widened(x: np.ndarray, size: np.ndarray, asking: bool) -> np.ndarray:
+        one, norm = np.ones(len(x)), share * size
+        return np.column_stack([times * x, one, norm] if asking else [x, norm, one])
 
     with np.errstate(all="ignore"):
         theirs, sizes = prepared(queries)
+        theirs = widened(theirs, sizes, True)
         most = np.full(len(queries), np.inf)  # the bound of each query: the key of its k-th row
         best, more, waiting = None, [], 0
         for batch in batches:
@@ -172,11 +177,18 @@ def _answers(batches, block: Block, probed: np.ndarray, cells: int, k: int, metr
                     if not len(ids):
                         continue
                     mine, size = prepared(rows)
-                    low, bound = least(mine, size, theirs[some], sizes[some]), most[some]
-                    if len(ids) > k and np.isinf(bound).any():
-                        # k rows lie below this
-                        bound = np.fmin(bound, np.partition(low, k - 1, axis=1)[:, k - 1] + 4 * _SLACK * (sizes[some] + np.fmax.reduce(size)))
-                    q, r = np.nonzero(~(low > bound[:, None]))
+                    mine, wide = widened(mine, size, False).T, 4 * _SLACK * np.fmax.reduce(size)
+                    found = []
+                    for i in range(0, len(some), _QUERIES):  # few enough that the bounds stay in the cache
+                        part = some[i : i + _QUERIES]
+                        low, bound = theirs[part] @ mine, most[part]
+                        kept = ~(low > bound[:, None])
+                        if len(ids) > k and len(new := np.flatnonzero(np.count_nonzero(kept, axis=1) > 2 * k)):
+                            # k rows lie below this: without it, all rows of a cell nearer than those before would be scored
+                            bound = np.fmin(bound[new], np.partition(low[new], k - 1, axis=1)[:, k - 1] + 4 * _SLACK * sizes[part[new]] + wide)
+                            kept[new] = ~(low[new] > bound[:, None])
+                        found.append(np.flatnonzero(kept) + i * len(ids))
+                    q, r = np.divmod(np.concatenate(found), len(ids))
                     score = np.concatenate([np.zeros(0), *(_exact(rows[r[i : i + _PAIRS]], queries[some[q[i : i + _PAIRS]]], metric) for i in range(0, len(q), _PAIRS))])
                     there = ~np.isnan(score)
                     new = (some[q[there]], score[there] if ascending else -score[there], ids[r[there]], score[there])
