@@ -165,3 +165,20 @@ def test_very_long_texts(spark, tokenizer):
     sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model"))
     counts = {r.doc_id: r.n_tokens for r in token_prefixes(docs, tokenizer("piece_bpe_32k.model")).select("doc_id", "n_tokens").collect()}
     assert counts[0] == len(sp.encode(texts[0])) and counts[2] == len(sp.encode(texts[2]))
+
+
+def test_pack_little_at_once(tokenizer, monkeypatch):
+    """A packing task encodes a few MB of text at once, however much one batch holds, and each document's ids stay the same."""
+    import pyarrow as pa
+
+    from vecsmith.llm import packing, tokenizing
+
+    path = tokenizer("byte_bpe_50k.json")
+    text = [f"{i} " + "some words " * 900 for i in range(900)]  # 9 MB
+    held, real = [], tokenizing.SegmentIds.ids
+    monkeypatch.setattr(tokenizing.SegmentIds, "ids", lambda self, texts: held.append(sum(len(t) for t in texts.to_pylist())) or real(self, texts))
+    batches = [pa.record_batch({"doc_id": pa.array([i for i in range(at, at + 100)], pa.int64()), "text": text[at : at + 100]}) for at in range(0, 900, 100)]
+    got = pa.Table.from_batches(packing._tokenized(iter(batches), path, 3, 10))
+    assert got["doc_id"].to_pylist() == list(range(900)) and sum(held) == sum(map(len, text))
+    assert max(held) <= 4 << 20
+    assert got["ids"].to_pylist()[::300] == tokenizing.segment_ids(path)(text[::300])

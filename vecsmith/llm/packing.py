@@ -18,6 +18,8 @@ from vecsmith.llm.common import batches_of_rows, gathered, mix, small_batches, s
 from vecsmith.llm.tokenizing import segment_ids
 
 LENGTH, DIMENSIONS, BITS = 2048, 3, 10
+#: Bytes of text that a task encodes at once; its pieces and ids take several times as many.
+_TEXT = 4 << 20
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -72,7 +74,7 @@ def _tokenized(batches, path, dims, bits):
     if (path, dims) not in _TABLES:
         _TABLES[path, dims] = projection(encode.library.get_vocab_size(), dims)
     table = _TABLES[path, dims]
-    for batch in batches_of_rows(gathered(batches), 20_000, 16 << 20):
+    for batch in batches_of_rows(gathered(batches, _TEXT), 20_000, _TEXT):
         ids = encode.ids(batch.column("text"))
         edge = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1).astype(np.int64) // encode.dtype.itemsize
         flat = np.frombuffer(ids.buffers()[2] or b"", encode.dtype)[: edge[-1]]
